@@ -39,3 +39,39 @@ def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = flag(find_passages(docs, table(spark, sf_dir, "benchmark")).drop("text"))
     ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.hostrules import judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.sharding import shard_documents
+
+    rows, _ = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query
+def op9_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm import chat
+
+    own = "struct(-1L, 0L, 'user', '</s>[INST] ok [/INST]'), struct(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+    probe = spark.sql(f"select inline(array({own})) as (conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    records = rows.select("conv_id", "turn", F.to_json(F.struct("turn", "role", "text")).alias("record"))
+    done = chat.render(chat.gather(chat.canonical(records).drop("record")))
+    done = done.select(
+        "conv_id", F.length("formatted").cast("long").alias("formatted_chars"),
+        chat.read_back(F.col("formatted")).alias("turns"), F.array_join(chat.under_loss(F.col("formatted"), F.col("loss")), "").alias("lost"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), "formatted_chars",
+    )
