@@ -75,3 +75,11 @@ def op9_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("lost").cast("long").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query
+def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.minhash import group
+
+    docs = group(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+    return docs.select("doc_id", F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.expr("doc_id <=> _component").alias("kept"))
