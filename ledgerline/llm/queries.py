@@ -83,3 +83,22 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = group(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
     return docs.select("doc_id", F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.expr("doc_id <=> _component").alias("kept"))
+
+
+@query
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.dsir import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = classify(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return done.select("doc_id", F.col("_n_features").alias("n_features"), F.col("_weight").alias("weight"), F.col("_gumbel_key").alias("gumbel_key"), F.col("_kept").alias("kept"))
+
+
+@query
+def op6_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.grammar import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return done.select("doc_id", held_out.alias("held_out"), "score", "predicted")
