@@ -102,3 +102,10 @@ def op6_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return done.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.maxent import score
+
+    return score(table(spark, sf_dir, "documents"))
