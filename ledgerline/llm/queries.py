@@ -109,3 +109,14 @@ def op7_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.maxent import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.pii import BASE, detect, span_text
+
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    base = F.filter("_spans", lambda s: s["kind"].isin(*BASE))
+    kinds = F.transform("_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
