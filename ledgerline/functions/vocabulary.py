@@ -25,7 +25,7 @@ KIND_TO_EVENT = {
     "model_usage": "inference", "tool_call": "tool_call", "tool_result": "tool_result", "context_assembled": "context", "error": "provider_error",
 }
 ROLE_TO_PHASE = {"application_constructed": "transformed", "client_sent": "sent", "provider_reported": "observed", "returned": "returned"}
-ROLE_TO_SOURCE = {"system": "system_instruction", "user": "user_message", "assistant": "assistant_message", "tool": "tool_output"}
+ROLE_TO_SOURCE = {"system": "system_instruction", "user": "user_message", "assistant": "assistant_message"}
 
 OVERSIZED, LARGE, DUPLICATE_RATIO, DOMINANCE, LATE = 1000, 2000, 0.25, 0.5, 0.5
 TOP_BLOCKS, EXCERPT, PAGE = 10, 240, 100

@@ -10,7 +10,7 @@ from ledgerline.operators import analysis, detectors, traces
 from ledgerline.sources.tables import conversation_blocks, document_blocks, event_traces, with_tokens
 
 V1 = """WITH b AS (SELECT CAST(conv_id AS VARCHAR) AS run_id, turn + 1 AS turn_number, 'turn-' || (turn + 1) AS turn_id, 'msg-turn-' || (turn + 1) || '-' || role AS block_id,
- CASE role WHEN 'system' THEN 'system_instruction' WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' WHEN 'tool' THEN 'tool_output' ELSE 'unknown' END AS source_type,
+ CASE role WHEN 'system' THEN 'system_instruction' WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' ELSE 'unknown' END AS source_type,
  turn AS ordinal, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM conversations) """
 V2 = """WITH b AS (SELECT 'r' || (n_chars % 97) AS run_id, doc_id % 7 + 1 AS turn_number, 'turn-' || (doc_id % 7 + 1) AS turn_id, 'd-' || doc_id AS block_id,
  CASE n_chars % 6 WHEN 0 THEN 'project_instruction' WHEN 1 THEN 'file_tree' WHEN 2 THEN 'tool_output' WHEN 3 THEN 'log_output' WHEN 4 THEN 'build_output' ELSE 'file_content' END AS source_type,
