@@ -202,7 +202,7 @@ def train(cells: DataFrame, steps: int = STEPS, rate: float = RATE) -> np.ndarra
     if not everything:
         return weights
     # The counts are bounded, so a fixed number of tasks can hold them; their gradients are all that comes back.
-    cells = cells.repartition(6, "context")
+    cells = cells.coalesce(6)
     for _ in range(steps):
         shared = spark.sparkContext.broadcast(weights)
 
