@@ -5,9 +5,10 @@ k of the signature is the least pi(sigma(shingle) + k mod D): pi shifted circula
 shingle are one run of the table.  BANDS bands of ROWS coordinates make candidates; a pair of similarity 0.8 escapes all
 bands with a probability of 1e-7.  Links are confirmed on the full sets of shingle hashes (64 bits).
 
-Texts with equal sets are one class from the start.  In a bucket, all classes are first compared to one of them; only
-where a bucket still has several components are the remaining pairs across components compared too, so that no link
-within a bucket is lost, yet a large group of copies is not compared pair by pair.
+Texts with equal sets are one class from the start.  In a bucket, all classes are first compared to the most
+central one (that shares most buckets with others); only where a bucket still has several components are the remaining
+pairs across components compared too, so that no link within a bucket is lost, yet a large group of copies is not
+compared pair by pair.
 
 A document without words has no shingles and is linked with nothing; one with fewer words than a shingle is one
 shingle.  Null texts are empty.  Repeated rows are duplicates of each other.  Null ids sort last.
@@ -27,6 +28,8 @@ from ledgerline.llm.graph import components
 
 ROWS, BANDS = 6, 54
 PLACES = 1 << 21
+#: Rounds in which buckets are compared to one member before the rest is compared in full.
+STARS = 2
 #: Shingles whose runs of the table are compared at once.
 BLOCK = 2048
 REMEMBERED = 400_000
@@ -153,21 +156,43 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     nodes = cut(classes, "near-classes")  # written: node numbers must not change
 
     buckets = nodes.select("node", F.explode("_bands").alias("band"))
-    shared = cut(buckets.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    members = cut(buckets.join(shared, "band").select("band", "node", "hub"), "near-members")
-    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_confirm(stars, nodes, sketched, text, width, percent), "near-links")
-
-    roots = cut(components(links), "near-roots")
-    rooted = members.join(roots, "node", "left").select("band", "node", "hub", F.coalesce("root", "node").alias("root"))
-    rooted = cut(rooted, "near-rooted")
+    shared = cut(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    members = cut(buckets.join(shared, "band").select("band", "node", "n"), "near-members")
+    # The text that a group of copies comes from shares more buckets with them than they do among themselves.
+    central = cut(members.groupBy("node").agg(F.sum("n").alias("near")), "near-central")
+    members = cut(members.join(central, "node").select("band", "node", F.struct("near", (-F.col("node")).alias("no")).alias("rank")), "near-members")
+
+    links, roots = None, None
+    for _ in range(STARS):
+        rooted = members if roots is None else members.join(roots, "node", "left")
+        rooted = rooted.select("band", "node", "rank", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root"))
+        rooted = cut(rooted, "near-rooted")
+        # Every bucket that isn't one component yet is compared to its most central member; later, to the most central
+        # one outside of the component of the first.
+        hubs = cut(rooted.groupBy("band").agg(F.max(F.struct("rank", "root")).alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi"), "near-hubs")
+        open_ = rooted.join(hubs.select("band", "top"), "band")
+        if links is not None:
+            outside = cut(open_.where("root <> top.root").groupBy("band").agg(F.max(F.struct("rank", "root")).alias("top")), "near-hubs")
+            open_ = rooted.join(outside, "band")
+        stars = open_.select((-F.col("top.rank.no")).alias("a"), F.col("node").alias("b"), "root", F.col("top.root").alias("ra")).where("a <> b and root <> ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = cut(_confirm(stars, nodes, sketched, text, width, percent), "near-links")
+        if more.isEmpty():
+            links = more if links is None else links
+            continue
+        links = more if links is None else links.unionByName(more)
+        roots = cut(components(links), "near-roots")
+
+    # What is left open is compared in full, across components only.
+    rooted = cut((members if roots is None else members.join(roots, "node", "left")).select("band", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root")), "near-rooted")
     mixed = cut(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "near-mixed")
     open_ = rooted.join(mixed, "band")
-    x, y = open_.select("band", F.col("node").alias("a"), F.col("root").alias("ra"), "hub"), open_.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-    across = x.join(y, "band").where("a < b and ra <> rb and a <> hub and b <> hub").select("a", "b").distinct()
-    more = cut(_confirm(cut(across, "near-across"), nodes, sketched, text, width, percent), "near-links")
+    x, y = open_.toDF("band", "a", "ra"), open_.toDF("band", "b", "rb")
+    across = x.join(y, "band").where("a < b and ra <> rb").select("a", "b").distinct()
+    more = cut(_confirm(across, nodes, sketched, text, width, percent), "near-links")
     if not more.isEmpty():
-        roots = cut(components(links.unionByName(more)), "near-roots")
+        roots = cut(components(more if links is None else links.unionByName(more)), "near-roots")
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
 
     # Only classes of several rows or with links have another component than their row's own id.
     named = nodes.select("_key", "node", "first", "copies").join(roots, "node", "left")
