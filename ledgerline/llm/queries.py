@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import table
 
-#: DuckDB: words of op8 are parted by these.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -120,3 +119,10 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("_spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
+
+
+# Escaping puts a backslash behind the bracket of a mark; a turn's own marks take eight characters besides its role.
+ORACLE["op9_schema_fingerprint"] = r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ e AS (SELECT *, regexp_replace(regexp_replace(t, '<(\\*)(/?s>|\|)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g') AS x FROM c)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256, CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(x) + length(role) + 8) AS BIGINT) AS formatted_chars FROM e GROUP BY 1"""
