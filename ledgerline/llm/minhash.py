@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,10 @@ ROWS, BANDS = 6, 54
 PLACES = 1 << 21
 #: Rounds in which buckets are compared to one member before the rest is compared in full.
 STARS = 2
+#: Members of a bucket up to which its pairs are simply listed.
+SMALL = 16
+#: Nodes of a block in the comparison of larger ones.
+BLOCK_NODES = 384
 #: Shingles whose runs of the table are compared at once.
 BLOCK = 2048
 REMEMBERED = 400_000
@@ -116,6 +121,19 @@ def sketch(docs: DataFrame, text: str, width: int) -> DataFrame:
     return append_columns(docs, F.col("doc")[text].cast("binary"), added, make).withColumn("_row", F.monotonically_increasing_id())
 
 
+def _sets(of: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width: int) -> DataFrame:
+    """node and _set, all hashed shingles, of the nodes in `of`."""
+    rows = sketched.select("_row", F.col("doc")[text].alias("_text")).join(of.select("node").distinct().join(nodes.select("node", "_row"), "node"), "_row")
+
+    def make(values) -> Iterator[list[tuple]]:
+        shingler = Shingler(width)
+        for batch in values:
+            yield [(shingler(t).view(np.int64),) for t in batch]
+
+    added = T.StructType([T.StructField("_set", T.ArrayType(T.LongType()))])
+    return cut(append_columns(rows.select("node", "_text"), F.col("_text").cast("binary"), added, make).select("node", "_set"), "near-sets")
+
+
 def _confirm(pairs: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
     sized = nodes.select("node", "_n")
@@ -124,21 +142,81 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str,
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     )
     pairs = cut(fits, "near-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node")
-    rows = sketched.select("_row", F.col("doc")[text].alias("_text")).join(needed, "_row").select("node", "_text")
-
-    def make(values) -> Iterator[list[tuple]]:
-        shingler = Shingler(width)
-        for batch in values:
-            yield [(shingler(t).view(np.int64),) for t in batch]
-
-    sets = append_columns(rows, F.col("_text").cast("binary"), T.StructType([T.StructField("_set", T.ArrayType(T.LongType()))]), make)
-    sets = cut(sets.select("node", "_set"), "near-sets")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, sketched, text, width)
     joined = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, and how many members (k) each has."""
+    open_ = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("band", "k")
+    return rows.join(cut(open_, "near-mixed"), "band")
+
+
+def _small(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components in buckets of at most SMALL members."""
+    x = open_.where(F.col("k") <= SMALL).select("band", "node", "root", "n")
+    x, y = x.toDF("band", "a", "ra", "na"), x.toDF("band2", "b", "rb", "nb")
+    may = (F.col("band") == F.col("band2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return x.join(y, may).select("a", "b").distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, by products of incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    rows_l, rows_r = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    all_l, all_r = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    both = np.intersect1d(all_l, all_r)
+    for at in range(0, len(both), columns):
+        part = both[at : at + columns]
+        a, b = np.zeros((len(left), len(part)), np.float32), np.zeros((len(right), len(part)), np.float32)
+        for m, rows, values in ((a, rows_l, all_l), (b, rows_r, all_r)):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[place] == values
+            m[rows[hit], place[hit]] = 1
+        out += a @ b.T
+    return out
+
+
+def _large(open_: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) across components in buckets of more than SMALL members.
+
+    Buckets that share members form a cluster.  A cluster's nodes are dealt to blocks of about BLOCK_NODES, and each task
+    compares the full sets of two blocks at once; only links come out.  So no pair is listed, no task holds more than two
+    blocks, and no link is lost.
+    """
+    large = cut(open_.where(F.col("k") > SMALL).select("band", "node", "root"), "near-large")
+    if large.isEmpty():
+        return large.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    hubs = cut(large.groupBy("band").agg(F.min("node").alias("hub")), "near-hubs")
+    clusters = cut(components(large.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "near-clusters")
+    members = cut(clusters.select("node", F.col("root").alias("cluster")).join(large.select("node", "root").distinct(), "node"), "near-clustered")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    placed = members.join(cut(sizes, "near-sizes"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = _sets(members, nodes, sketched, text, width)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.join(sets, "node").select("cluster", "node", "root", "block", "_set", other)
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "_set")
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        blocks, values = group.column("block").to_numpy(), group.column("_set").combine_chunks()
+        offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
+        node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+        at = [np.flatnonzero(blocks == k) for k in (i, j)]
+        side = [[flat[offsets[r] : offsets[r + 1]] for r in rows] for rows in at]
+        both = shared_counts(*side)
+        n = [np.array([len(x) for x in s], np.float64) for s in side]
+        linked = (100 * both >= percent * (n[0][:, None] + n[1][None, :] - both)) & (root[at[0]][:, None] != root[at[1]][None, :])
+        x, y = np.nonzero(linked)
+        a, b = node[at[0]][x], node[at[1]][y]
+        keep = a < b if i == j else slice(None)
+        a, b = a[keep], b[keep]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def group(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 2, percent: int = 80) -> DataFrame:
     """docs with _n (size of the set), _component (least id of the group) and _kept: one row of each group.
 
@@ -184,11 +262,9 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 
     # What is left open is compared in full, across components only.
     rooted = cut((members if roots is None else members.join(roots, "node", "left")).select("band", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root")), "near-rooted")
-    mixed = cut(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "near-mixed")
-    open_ = rooted.join(mixed, "band")
-    x, y = open_.toDF("band", "a", "ra"), open_.toDF("band", "b", "rb")
-    across = x.join(y, "band").where("a < b and ra <> rb").select("a", "b").distinct()
-    more = cut(_confirm(across, nodes, sketched, text, width, percent), "near-links")
+    open_ = cut(_mixed(rooted).join(nodes.select("node", F.col("_n").alias("n")), "node").select("band", "node", "root", "n", "k"), "near-open")
+    few = _confirm(cut(_small(open_, percent), "near-across"), nodes, sketched, text, width, percent)
+    more = cut(few.unionByName(_large(open_, nodes, sketched, text, width, percent)), "near-links")
     if not more.isEmpty():
         roots = cut(components(more if links is None else links.unionByName(more)), "near-roots")
     if roots is None:

@@ -102,3 +102,22 @@ def test_components(spark):
     want = {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100} | {i: 200 for i in range(200, 260)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_blocks_find_what_single_comparisons_find(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(37)]
+    got = minhash.shared_counts(sets[:20], sets[20:], columns=7)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets[:20]) for j, b in enumerate(sets[20:]))
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    monkeypatch.setattr(minhash, "BLOCK_NODES", 5)
+    say_ = random.Random(9)
+    base = say(say_, 60)
+    rows = [(0, "other words here")]
+    for i in range(1, 40):  # some linked to the base, some only among themselves, some not at all
+        copy = list(base)
+        for _ in range(i % 7):
+            copy[say_.randrange(60)] = f"q{i % 3}{say_.randrange(9)}"
+        rows.append((i, " ".join(copy)))
+    got = minhash.group(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert {r.doc_id: r["_component"] for r in got} == {k: least for (k, _), (_, least) in zip(rows, brute(rows, 2), strict=True)}
