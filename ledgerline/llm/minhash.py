@@ -189,9 +189,10 @@ def _large(open_: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, w
     large = cut(open_.where(F.col("k") > SMALL).select("band", "node", "root"), "near-large")
     if large.isEmpty():
         return large.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    hubs = cut(large.groupBy("band").agg(F.min("node").alias("hub")), "near-hubs")
-    clusters = cut(components(large.join(hubs, "band").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "near-clusters")
-    members = cut(clusters.select("node", F.col("root").alias("cluster")).join(large.select("node", "root").distinct(), "node"), "near-clustered")
+    hubs = cut(large.groupBy("band").agg(F.min("root").alias("hub")), "near-hubs")
+    # Over components, not nodes: a bucket here has at least two of them.
+    clusters = cut(components(large.join(hubs, "band").select(F.col("hub").alias("a"), F.col("root").alias("b"))), "near-clusters")
+    members = cut(large.select("node", "root").distinct().join(clusters.toDF("root", "cluster"), "root"), "near-clustered")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
     placed = members.join(cut(sizes, "near-sizes"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = _sets(members, nodes, sketched, text, width)
