@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import credential_like, display_hash, html_escape, redact, redact_and_truncate, token_estimate
+from ledgerline.functions.text import RULES, B, E, credential_like, display_hash, html_escape, redact, redact_and_truncate, token_estimate
 from ledgerline.operators import ingest, metadata
 from ledgerline.sources import runs
 from ledgerline.sources.tables import table
@@ -25,6 +27,11 @@ def redact_custom(spark, d):
     return t.where(F.col("text").rlike(TOKEN)).select("doc_id", redact(F.col("text"), [TOKEN]).alias("redacted"))
 
 
+def redact_documents(spark, d):
+    """Every document, whatever rule changes it (redact_custom shows those with the lower-case pattern only)."""
+    return table(spark, d, "documents").select("doc_id", redact(F.col("text"), [TOKEN]).alias("redacted"))
+
+
 def redact_builtin_planted(spark, d):
     text = F.concat(F.lit("api_key="), F.col("event_id").cast("string"), F.lit("; use Bearer abc"), F.col("user_id").cast("string"), F.lit(" now; my sk-abcdefgh"), F.col("event_id").cast("string"))
     return table(spark, d, "events").select("event_id", redact(text).alias("redacted"))
@@ -126,15 +133,27 @@ def exchange_trace_events(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    redact_custom, redact_builtin_planted, redact_truncate, credential_texts, token_sizes, display_hashes, escaped_pages, metadata_sanitise, payload_policy, provider_models, route_models, exchange_outcome,
+    redact_custom, redact_documents, redact_builtin_planted, redact_truncate, credential_texts, token_sizes, display_hashes, escaped_pages, metadata_sanitise, payload_policy, provider_models, route_models, exchange_outcome,
     retention_expiry, purge_expired, cascade_delete, list_page, append_verdicts, exchange_trace_events,
 )}
 _T = r"(?i)token\s*=\s*\"[0-9a-f]+\""
+
+
+def _rules_sql(text: str) -> str:
+    """text after the built-in rules, whose looks to the side are word boundaries in DuckDB."""
+    for pattern, to in RULES:
+        pattern = re.sub(r"\(\?:\(\?<=.*\)$", r"\\b", pattern).replace(B, r"\b").replace(E, r"\b")
+        pattern = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern).replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return text
+
+
 _O = """WITH t AS (SELECT o_orderkey AS trace_id, o_orderdate AS created_at, CASE o_orderkey % 3 WHEN 1 THEN 30 WHEN 2 THEN 90 END AS retention_days FROM orders), r AS (SELECT *, created_at + to_days(CAST(retention_days AS INTEGER)) AS expires_at FROM t),
  x AS (SELECT * FROM r WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '1997-06-30 00:00:00') """
 _TEXT = "trace_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, retention_days, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at"
 ORACLE = {
     "redact_custom": f"SELECT doc_id, regexp_replace(text, '{_T}', '[REDACTED]', 'g') AS redacted FROM documents WHERE regexp_matches(text, 'token\\s*=\\s*\"[0-9a-f]+\"')",
+    "redact_documents": f"SELECT doc_id, {_rules_sql(f"regexp_replace(text, '{_T}', '[REDACTED]', 'g')")} AS redacted FROM documents",
     "redact_builtin_planted": "SELECT event_id, 'api_key=[REDACTED]; use Bearer [REDACTED] now; my [REDACTED_API_KEY]' AS redacted FROM events",
     "redact_truncate": f"WITH r AS (SELECT doc_id, regexp_replace(text, '{_T}', '[REDACTED]', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE left(t, 239) || '…' END AS excerpt FROM r",
     "credential_texts": f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_T}') AS credential_like FROM documents",

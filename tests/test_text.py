@@ -1,3 +1,5 @@
+import __spark_entry__ as entry
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +45,12 @@ def test_truncation(spark, most, want):
 
 def test_html(spark):
     assert one(spark, ["<a href=\"x\">'&"], text.html_escape) == ["&lt;a href=&quot;x&quot;&gt;&#39;&amp;"]
+
+
+def test_every_document_is_redacted(spark, tmp_path):
+    rows = [(1, 'Token = "ab12"'), (2, "password=p"), (3, 'token="0f" Bearer x'), (4, "plain"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.redacted for r in entry.queries()["redact_documents"](spark, str(tmp_path)).collect()}
+    assert got == {1: "[REDACTED]", 2: "password=[REDACTED]", 3: "[REDACTED] Bearer [REDACTED]", 4: "plain", 5: None}
+    duck = duckdb.sql(entry.oracle_sql()["redact_documents"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    assert dict(duck.fetchall()) == got
