@@ -30,7 +30,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|api[_-]?key|secret|password|passwd|pwd)\x20?[=:]\x20?\x22?[A-Za-z0-9+/_.-]{8,512}\x22?",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:token|api[_-]?key|secret|password|passwd|pwd)\x20?[=:]\x20?\x22?[A-Za-z0-9+/_.-]{8,}+\x22?",
 }
 #: What a text must have for the pattern to be worth trying.
 NEEDS = {"email": "@", "phone": "+"}

@@ -55,6 +55,13 @@ def test_secrets_are_added_and_texts_redacted(spark):
     assert red[92] == "[EMAIL] x"
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    rows = [(i, f'see token = "{hashlib.sha1(str(i).encode()).hexdigest()}" here') for i in range(40)]
+    rows += [(100 + n, f'see token = "{"aB3x" * n}" here') for n in (127, 128, 129, 300, 50_000)]
+    red = {r.doc_id: r.text for r in pii.redact(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert set(red.values()) == {"see [SECRET] here"}
+
+
 def test_em_finds_the_reliable_labelers():
     rng = random.Random(6)
     rates, counts = [(0.95, 0.9), (0.7, 0.8), (0.9, 0.6), (0.6, 0.6), (0.8, 0.95)], {}
