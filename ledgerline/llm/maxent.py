@@ -8,8 +8,13 @@ the weights.  Frequent tokens are classes of their own, others share one by thei
 token comes again.  Within a class a token counts as often as in training; each shared class keeps some mass for
 tokens never seen, as many as it has tokens seen once.
 
+That model is the prior of a second one, whose size grows with the corpus: all pairs of adjacent tokens are counted by
+identity (64-bit hashes; before a text's first token comes the end), and
+P(token | before) = (c(before, token) + PULL * prior) / (c(before) + PULL).  The counts stay distributed.
+
 Scoring: tokens with at least 1 in FREQUENT of all training tokens (so at most FREQUENT) go to each task; the others are
 joined to the corpus's counts by a 64-bit hash.  So no task needs the whole vocabulary, and no token is hot in the join.
+Pairs are parted the same way.
 
 Null and empty texts are the end token alone.  Rows with a null id are trained on.  Repeated rows count each.
 """
@@ -34,8 +39,12 @@ END, SAME, OWN_CLASSES, CLASSES = 0, 1, 30, 64
 #: Buckets of a context token (0: none, then the most frequent tokens, then endings), hashed pairs, and endings.
 CONTEXTS, OWN_CONTEXTS, PAIRS, ENDINGS = 256, 200, 2048, 4096
 STEPS, RATE = 12, 0.5
+#: Occurrences that the prior of a pair counts for.
+PULL = 100.0
 #: Distinct tokens that a task counts before it passes them on.
 FLUSH = 300_000
+#: Pairs that a task holds before it counts them and passes them on.
+PAIR_FLUSH = 4_000_000
 END_TOKEN = b""
 
 
@@ -60,6 +69,19 @@ def _ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each token (given by its own) and the one before; before the first comes the end."""
+    h = hashes.view(np.uint64)
+    x = np.empty_like(h)
+    x[:1], x[1:] = h[-1:], h[:-1]  # a text's last token is the end
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += h
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x.view(np.int64)
+
+
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """h, token, ending and c: a row for each distinct token."""
 
@@ -96,6 +118,8 @@ class Tables:
     base: np.ndarray  # log10 of the base estimate, of frequent tokens
     within: np.ndarray  # log10 P(token | class) of frequent tokens; for endings, what is to be multiplied by the count
     unseen: np.ndarray  # by ending: log10 P(a token never seen | class)
+    hashes: np.ndarray  # of frequent tokens
+    counts: np.ndarray  # of frequent tokens
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
         """Codes, and the places of tokens that aren't frequent."""
@@ -106,6 +130,14 @@ class Tables:
             codes[rare] = [_ending(words[i]) + len(self.code) for i in rare]
         return codes, rare
 
+    def hashed(self, words: list[bytes], codes: np.ndarray, rare: list[int]) -> np.ndarray:
+        """The hash of each token."""
+        if not rare:
+            return self.hashes[codes]
+        h = self.hashes[np.minimum(codes, len(self.code) - 1)] if len(self.code) else np.zeros(len(codes), np.int64)
+        h[rare] = [_hash(words[i]) for i in rare]
+        return h
+
     def events(self, words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The context and the class of each token."""
         k, b = self.classes[codes].copy(), self.contexts[codes]
@@ -148,7 +180,8 @@ def build_tables(counts: DataFrame) -> tuple[Tables, int, int]:
         within[i] = 0.0 if classes[i] < OWN_CLASSES + 2 else math.log10(c) + per[classes[i]]
     within[f:] = per[classes[f:]]
     base = np.array([math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for _, c in top])
-    return Tables({w: i for i, (w, _) in enumerate(top)}, classes, contexts, base, within, np.log10(novel)[classes[f:]]), n, v
+    hashes, own_counts = np.array([_hash(w) for w, _ in top], np.int64), np.array([c for _, c in top], np.float64)
+    return Tables({w: i for i, (w, _) in enumerate(top)}, classes, contexts, base, within, np.log10(novel)[classes[f:]], hashes, own_counts), n, v
 
 
 def context_counts(docs: DataFrame, tables: Tables, text: str = "text") -> DataFrame:
@@ -175,6 +208,45 @@ def context_counts(docs: DataFrame, tables: Tables, text: str = "text") -> DataF
     return rows.groupBy("context", "class").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(docs: DataFrame, tables: Tables, counts: DataFrame, text: str = "text") -> DataFrame:
+    """g, c2 and ct: a row for each distinct pair of adjacent tokens.
+
+    ct is what the prior given by tables lacks: the count of a token that isn't frequent (1 for others, and if it comes again).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, keys, lacks, held = shared.value, [], [], 0
+
+        def out():
+            g, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            h = np.concatenate(lacks)[first]
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(h, mask=h == 0), pa.array(n.astype(np.int64))], names=["g", "h", "c2"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for t in batch.column(0).slice(at, 64).to_pylist():
+                    words = tokens(t)
+                    codes, rare = own.read(words)
+                    h = own.hashed(words, codes, rare)
+                    lack = np.zeros(len(h), np.int64)
+                    lack[rare] = h[rare]
+                    lack[1:][h[1:] == h[:-1]] = 0
+                    keys.append(pair_keys(h))
+                    lacks.append(lack)
+                    held += len(h)
+                if held >= PAIR_FLUSH:
+                    yield out()
+                    keys, lacks, held = [], [], 0
+        if held:
+            yield out()
+
+    rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "g long, h long, c2 long")
+    pairs = cut(rows.groupBy("g", "h").agg(F.sum("c2").alias("c2")), "lm-pairs")
+    one = F.lit(1).cast("long").alias("ct")
+    return pairs.where("h is null").select("g", "c2", one).unionByName(pairs.where("h is not null").join(counts.select("h", F.col("c").alias("ct")), "h").select("g", "c2", "ct"))
+
+
 def feature_ids(context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the weights: previous token, skip, hashed pair (row 0 is the bias of all)."""
     two, one = context // CONTEXTS, context % CONTEXTS
@@ -236,31 +308,43 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     weights = train(cut(context_counts(training, tables, "t"), "lm-contexts"))
     all_contexts = np.arange(CONTEXTS * CONTEXTS)
     table = np.concatenate([logits(weights, c) for c in np.array_split(all_contexts, 64)]).astype(np.float32) / np.float32(math.log(10))
+    adjacent = pair_counts(training, tables, counts, "t")
+    top = adjacent.where(F.col("c2") * FREQUENT >= n).select("g", "c2").toArrow()  # at most FREQUENT rows; their tokens are frequent, too
+    order = np.argsort(top["g"].to_numpy())
     spark = docs.sparkSession
+    often = spark.sparkContext.broadcast((top["g"].to_numpy()[order], top["c2"].to_numpy()[order].astype(np.float64)))
     shared, known = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(tables)
     added = T.StructType(
         [T.StructField("n_tokens", T.LongType()), T.StructField("sure", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()),
-         T.StructField("hs", T.ArrayType(T.LongType())), T.StructField("ns", T.ArrayType(T.IntegerType())), T.StructField("ms", T.ArrayType(T.IntegerType())), T.StructField("es", T.ArrayType(T.ShortType()))]
+         T.StructField("hs", T.ArrayType(T.LongType())), T.StructField("ns", T.ArrayType(T.IntegerType())), T.StructField("ms", T.ArrayType(T.IntegerType())), T.StructField("es", T.ArrayType(T.ShortType())),
+         T.StructField("gs", T.ArrayType(T.LongType())), T.StructField("ls", T.ArrayType(T.FloatType()))]
     )
 
     def make(values) -> Iterator[list[tuple]]:
-        logs, own = shared.value, known.value
+        (logs, own), (keys, known_pairs) = (shared.value, known.value), often.value
         f = len(own.code)
+        before = np.concatenate([np.log10(own.counts / PULL + 1), np.zeros(ENDINGS)])
         for batch in values:
             out = []
             for t in batch:
                 words = tokens(t)
                 codes, rare = own.read(words)
                 context, k = own.events(words, codes)
-                model = float(logs[context, k].sum(dtype=np.float64)) + float(own.within[codes[k != SAME]].sum())
+                prior = logs[context, k] + np.where(k != SAME, own.within[codes], 0.0)
+                g = pair_keys(own.hashed(words, codes, rare))
+                place = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
+                hit = keys[place] == g if len(keys) else np.zeros(len(g), bool)
+                # All tokens of a text come before one, as its end stands for what is before the first.
+                model = float(prior.sum() - before[codes].sum() + np.log10(known_pairs[place[hit]] / PULL / 10.0 ** prior[hit] + 1).sum())
+                gs, ls = g[~hit], prior[~hit].astype(np.float32)
                 base = float(own.base[codes[codes < f]].sum())
                 if rare:
                     h = np.array([_hash(words[i]) for i in rare], np.int64)
                     ids, first, inverse, n_ = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                     m = np.bincount(inverse, weights=(k[rare] != SAME), minlength=len(ids)).astype(np.int64)
-                    out.append((len(words), len(words) - len(rare), base, model, ids, n_, m, codes[np.array(rare)[first]] - f))
+                    out.append((len(words), len(words) - len(rare), base, model, ids, n_, m, codes[np.array(rare)[first]] - f, gs, ls))
                 else:
-                    out.append((len(words), len(words), base, model, [], [], [], []))
+                    out.append((len(words), len(words), base, model, [], [], [], [], gs, ls))
             yield out
 
     read = cut(append_columns(rows, F.col("t"), added, make).drop("t").withColumn("row", F.monotonically_increasing_id()), "lm-scores")
@@ -270,13 +354,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     unseen = F.element_at(F.array(*(F.lit(float(x)) for x in tables.unseen[:ENDINGS_KINDS])), F.col("es") % ENDINGS_KINDS + 1)
     known_part = F.element_at(F.array(*(F.lit(float(x)) for x in tables.within[len(tables.code) :][:ENDINGS_KINDS])), F.col("es") % ENDINGS_KINDS + 1)
     whole = math.log10(n + 0.5 * (v + 1))
-    sums = seen.groupBy("row").agg(
+    part = seen.groupBy("row").agg(
         F.sum(F.col("ns") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - whole)).alias("b"),
-        F.sum(F.col("ms") * F.when(F.col("c").isNull(), unseen - known_part).otherwise(F.log10("c"))).alias("m"),
+        F.sum(F.col("ms") * F.when(F.col("c").isNull(), unseen - known_part).otherwise(F.log10("c")) - F.col("ns") * F.log10(F.coalesce("c", F.lit(0)) / PULL + 1)).alias("m"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("ns"))).alias("k"),
     )
+    read_pairs = read.select("row", F.explode(F.arrays_zip("gs", "ls")).alias("p")).select("row", "p.*")
+    rest = adjacent.where(F.col("c2") * FREQUENT < n).withColumnRenamed("g", "gs")
+    gain = F.log10(F.col("c2") / PULL / F.pow(F.lit(10.0), F.col("ls").cast("double")) / F.col("ct") + 1)
+    gained = read_pairs.join(rest, "gs").groupBy("row").agg(F.lit(None).cast("double").alias("b"), F.sum(gain).alias("m"), F.lit(None).cast("long").alias("k"))
+    sums = part.unionByName(gained).groupBy("row").agg(F.sum("b").alias("b"), F.sum("m").alias("m"), F.sum("k").alias("k"))
     nought = F.lit(0.0)
-    return read.drop("hs", "ns", "ms", "es").join(sums, "row", "left").select(
+    return read.drop("hs", "ns", "ms", "es", "gs", "ls").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", nought)).alias("base_score"), (F.col("model") + F.coalesce("m", nought)).alias("score"),
     )

@@ -75,3 +75,27 @@ def test_training_gains(spark):
     rows = cells.collect()
     gain = [sum(r.n * maxent.logits(maxent.train(cells, steps=s), np.array([r.context]))[0, r["class"]] for r in rows) for s in (0, 4, 12)]
     assert gain[0] < gain[1] < gain[2]
+
+
+@pytest.mark.parametrize("frequent", [40, 100_000])
+def test_pairs_count_by_identity(spark, monkeypatch, frequent):
+    monkeypatch.setattr(maxent, "FREQUENT", frequent)
+    words = [f"w{i:03}x" for i in range(600)]  # more than own contexts, of one ending
+    docs = [(i, " ".join(words[i % 50 :: 7])) for i in range(200)] + [(200, "w001x w001x w001x")]
+    out = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    docs += [(out[0], " ".join(words[300:500:7])), (out[1], " ".join(words[300:500:7][::-1]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in maxent.score(df).collect()}
+    assert got[out[0]].score > got[out[1]].score + 10
+    monkeypatch.setattr(maxent, "PULL", 1e-9)  # the counts alone
+    got = {r.doc_id: r for r in maxent.score(df).collect()}
+    pairs, before = Counter(), Counter()
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            own = tokens(t)
+            pairs.update(zip([b"", *own], own))
+            before.update([b"", *own[:-1]])
+    for i, t in docs:
+        if not got[i].held_out:
+            own = tokens(t)
+            assert got[i].score == pytest.approx(sum(math.log10(pairs[a, w] / before[a]) for a, w in zip([b"", *own], own)), abs=1e-4)
