@@ -123,6 +123,13 @@ def append_verdicts(spark, d):
     return ingest.classify_append(old, new, "k", "text").groupBy("k", "text", "verdict").agg(F.count("*").alias("n"))
 
 
+def append_verdicts_all(spark, d):
+    """As append_verdicts, but every event comes, those of the stored part again: each gets a verdict."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("k"), F.col("event_type").alias("text"), "event_id")
+    old = e.where("event_id % 3 = 0").groupBy("k").agg(F.min("text").alias("text"))
+    return ingest.classify_append(old, e, "k", "text").groupBy("k", "text", "verdict").agg(F.count("*").alias("n"))
+
+
 def exchange_trace_events(spark, d):
     c = table(spark, d, "conversations")
     m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
@@ -134,7 +141,7 @@ def exchange_trace_events(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     redact_custom, redact_documents, redact_builtin_planted, redact_truncate, credential_texts, token_sizes, display_hashes, escaped_pages, metadata_sanitise, payload_policy, provider_models, route_models, exchange_outcome,
-    retention_expiry, purge_expired, cascade_delete, list_page, append_verdicts, exchange_trace_events,
+    retention_expiry, purge_expired, cascade_delete, list_page, append_verdicts, append_verdicts_all, exchange_trace_events,
 )}
 _T = r"(?i)token\s*=\s*\"[0-9a-f]+\""
 
@@ -176,6 +183,8 @@ ORACLE = {
     "cascade_delete": _O + "SELECT l_orderkey AS trace_id, count(*) AS events FROM lineitem WHERE l_orderkey IN (SELECT trace_id FROM x) GROUP BY 1",
     "list_page": _O + f"SELECT {_TEXT} FROM (SELECT * FROM r ORDER BY r.created_at DESC, trace_id LIMIT 100 OFFSET 50)",
     "append_verdicts": """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS k, min(event_type) AS h FROM events WHERE event_id % 3 = 0 GROUP BY 1), n AS (SELECT CAST(user_id AS VARCHAR) AS k, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n, min(event_type) OVER (PARTITION BY user_id) AS lo FROM events WHERE event_id % 3 = 1)
+ SELECT n.k, text, CASE WHEN h IS NOT NULL THEN CASE WHEN h = text THEN 'already_present' ELSE 'conflict' END WHEN n = 1 THEN 'stored' WHEN text = lo THEN 'already_present' ELSE 'conflict' END AS verdict, count(*) AS n FROM n LEFT JOIN o ON o.k = n.k GROUP BY ALL""",
+    "append_verdicts_all": """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS k, min(event_type) AS h FROM events WHERE event_id % 3 = 0 GROUP BY 1), n AS (SELECT CAST(user_id AS VARCHAR) AS k, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n, min(event_type) OVER (PARTITION BY user_id) AS lo FROM events)
  SELECT n.k, text, CASE WHEN h IS NOT NULL THEN CASE WHEN h = text THEN 'already_present' ELSE 'conflict' END WHEN n = 1 THEN 'stored' WHEN text = lo THEN 'already_present' ELSE 'conflict' END AS verdict, count(*) AS n FROM n LEFT JOIN o ON o.k = n.k GROUP BY ALL""",
     "exchange_trace_events": """WITH c AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS o FROM conversations WHERE role IN ('system', 'user', 'assistant')), z AS (SELECT conv_id, count(*) AS n FROM c GROUP BY 1)
  SELECT CAST(conv_id AS VARCHAR) AS trace_id, CAST(o AS INTEGER) AS event_ordinal, CASE role WHEN 'system' THEN 'instruction' ELSE 'message' END AS type, CASE role WHEN 'user' THEN 'said' ELSE 'sent' END AS content_phase, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS actor_role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(NULL AS VARCHAR) AS routing_decision, length(text) AS size FROM c

@@ -1,5 +1,6 @@
 import json
 
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,8 @@ def test_config():
     for change in ({"id": ""}, {"kind": "other"}, {"baseUrl": "ftp://x"}, {"baseUrl": "https://u:p@x.org"}, {"headers": {"Authorization": "x"}}, {"models": {}}, {"models": [{"id": "m", "limits": {"c": 0}}]}, {"models": [{"id": "m", "pricing": {"i": -1}}]}, {"capabilities": {"fly": True}}, {"capabilities": {"tools": 1}}):
         with pytest.raises(config.ConfigError):
             config.providers({"providers": [good["providers"][0] | change]})
+
+
+def test_every_event_gets_a_verdict(spark, sf_dir):
+    rows = entry.queries()["append_verdicts_all"](spark, sf_dir).collect()
+    assert sum(r.n for r in rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
