@@ -14,6 +14,8 @@ PHASES = ("said", "sent", "transformed", "requested", "observed", "generated", "
 STATUSES = ("captured", "redacted", "truncated", "missing", "unknown", "not_applicable")
 ROLES = ("application_constructed", "client_sent", "provider_reported", "returned", "unobservable")
 SURFACES = ("client_side", "ingress_proxy", "tool", "mcp", "context_provider")
+ACTORS = ("agent", "model", "tool", "mcp", "retrieval", "context_provider", "capture")
+TARGETS = ("trace", "span", "none")
 CONTROL_KINDS = ("interaction_start", "interaction_end", "span_start", "span_end")
 EVENT_KINDS = (
     *CONTROL_KINDS, "model_request", "model_response", "model_response_chunk", "model_usage", "tool_call", "tool_result",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import choose
-from ledgerline.functions.vocabulary import CONTROL_KINDS, EVENT_KINDS, KIND_TO_EVENT, ROLE_TO_PHASE, ROLES, STATUSES
+from ledgerline.functions.vocabulary import ACTORS, CONTROL_KINDS, EVENT_KINDS, KIND_TO_EVENT, ROLE_TO_PHASE, ROLES, STATUSES, SURFACES, TARGETS
 
 TIMESTAMP = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3}Z$"
 REQUEST_KIND = r"_(request|call)$"
@@ -182,6 +182,90 @@ def envelope_issues(kind: Column, status: Column, fidelity: Column, hash_: Colum
     return F.array_compact(F.array(*(F.when(bad, code) for bad, code in checks)))
 
 
+def _json_type(v: Column, path: str) -> Column:
+    """The type of a field (OBJECT<...>, ARRAY<...>, STRING, VOID for null, ...); null if there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _is(v: Column, path: str, type_: str) -> Column:
+    return F.coalesce(_json_type(v, path).startswith(type_), F.lit(False))
+
+
+def _string(v: Column, path: str) -> Column:
+    return F.when(_is(v, path, "STRING"), F.try_variant_get(v, path, "string"))
+
+
+def _integer(v: Column, path: str, least: int) -> Column:
+    x = F.when(F.coalesce(_json_type(v, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False)), F.try_variant_get(v, path, "double"))
+    return F.coalesce((x == F.floor(x)) & (x >= least), F.lit(False))
+
+
+def kind_issues(observations: DataFrame) -> DataFrame:
+    """trace_id, observation_id, code: what each kind requires of its payload (JSON text), and of its span by the lifecycle target."""
+    kind, span, p = F.col("kind"), F.col("span_id"), F.col("_p")
+    lacks = lambda name: ~_is(p, f"$.{name}", "OBJECT")
+    required = [
+        ("model_request", "requestEnvelope", "model_request_missing_envelope"), ("model_response", "responseEnvelope", "model_response_missing_envelope"),
+        ("model_response_chunk", "responseEnvelope", "model_response_missing_envelope"), ("model_usage", "usage", "usage_missing"), ("tool_result", "toolResult", "tool_result_invalid"),
+        ("mcp_request", "mcp", "mcp_request_invalid"), ("mcp_result", "mcpResult", "mcp_result_invalid"), ("retrieval_request", "retrieval", "retrieval_request_invalid"),
+        ("retrieval_result", "retrievalResult", "retrieval_result_invalid"), ("context_provider_request", "contextProvider", "context_provider_invalid"),
+        ("context_provider_result", "contextProvider", "context_provider_invalid"), ("cancelled", "cancellation", "cancellation_missing"), ("error", "error", "error_payload_missing"), ("retry", "retry", "retry_missing"),
+    ]
+    checks = [((kind == k) & lacks(name), code) for k, name, code in required]
+    target, effect = F.coalesce(_string(p, "$.lifecycleTarget"), F.lit("")), F.coalesce(_string(p, "$.lifecycleEffect"), F.lit(""))
+    ends, retry = kind.isin("error", "cancelled"), (kind == "retry") & ~lacks("retry")
+    checks += [
+        ((kind == "tool_call") & (lacks("tool") | ~_is(p, "$.tool.name", "STRING")), "tool_call_invalid"), ((kind == "error") & ~F.coalesce(_string(p, "$.actor").isin(*ACTORS), F.lit(False)), "error_invalid_actor"),
+        ((kind == "error") & ~target.isin(*TARGETS), "error_invalid_target"), ((kind == "error") & ~effect.isin("fail", "none"), "error_invalid_effect"),
+        ((kind == "cancelled") & ~target.isin(*TARGETS), "cancelled_invalid_target"), ((kind == "cancelled") & (effect != "cancel"), "cancelled_invalid_effect"),
+        (ends & (target == "span") & span.isNull(), "target_span_requires_span"), (ends & (target == "trace") & span.isNotNull(), "target_trace_requires_null_span"),
+        (retry & (F.coalesce(_string(p, "$.retry.originalRequestEventId"), F.lit("")) == ""), "retry_missing_original"), (retry & ~_integer(p, "$.retry.attempt", 1), "retry_invalid_attempt"),
+    ]
+
+    def envelope(side: str, applies: Column) -> Column:
+        at = f"$.{side}Envelope"
+        hash_ = F.when(_json_type(p, f"{at}.nativeContentHash").isNotNull(), F.coalesce(_string(p, f"{at}.nativeContentHash"), F.lit("")))
+        codes = envelope_issues(F.lit(side), F.coalesce("status", F.lit("")), _string(p, f"{at}.providerNativeFidelity"), hash_, *(_string(p, f"{at}.{x}") for x in ("nativeEncoding", "nativeContentType", "model", "provider")))
+        return F.when(applies & _is(p, at, "OBJECT"), codes).otherwise(F.array().cast("array<string>"))
+
+    listed = F.when((kind == "model_request") & _is(p, "$.contextContributions", "ARRAY"), F.try_variant_get(p, "$.contextContributions", "array<variant>"))
+    contributions = F.flatten(F.transform(F.coalesce(listed, F.array().cast("array<variant>")), lambda c: F.when(~_is(c, "$", "OBJECT"), F.array(F.lit("contribution_invalid"))).otherwise(F.array_compact(F.array(
+        F.when(F.coalesce(_string(c, "$.artifactId"), F.lit("")) == "", "contribution_missing_artifact"), F.when(~_integer(c, "$.position", 0), "contribution_invalid_position"))))))
+    own = F.array_compact(F.array(*(F.when(bad, code) for bad, code in checks)))
+    codes = F.concat(own, envelope("request", kind == "model_request"), envelope("response", kind.isin("model_response", "model_response_chunk")), contributions)
+    rows = observations.where(kind.isin(*EVENT_KINDS)).withColumn("_p", F.try_parse_json("payload"))
+    return rows.select("trace_id", "observation_id", F.explode(codes).alias("code"))
+
+
+def validation_issues(observations: DataFrame) -> DataFrame:
+    """trace_id, observation_id, code: all checks of single observations, their payloads being JSON texts."""
+    is_object = F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT")
+    return observation_issues(observations.withColumn("payload", F.when(is_object, F.col("payload")))).unionByName(kind_issues(observations))
+
+
+def boundary_issues(boundaries: DataFrame) -> DataFrame:
+    """trace_id, code: of capture boundaries (boundary: JSON text)."""
+    v = F.col("_v")
+    strings = lambda path: F.when(_is(v, path, "ARRAY"), F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x: _string(x, "$")))
+    known = lambda c, names: F.coalesce(c.isin(*names), F.lit(False))
+    thing, missing = _is(v, "$", "OBJECT"), _json_type(v, "$.missingRecord")
+    stated = missing.isNotNull() & (missing != "VOID")
+    checks = [
+        (~thing, "capture_boundary_missing"), (thing & ~known(_string(v, "$.captureSurface"), SURFACES), "capture_surface_invalid"), (thing & ~known(_string(v, "$.observationBoundary"), ROLES), "observation_boundary_invalid"),
+        (thing & ~F.coalesce(F.forall(strings("$.declaredEventKinds"), lambda x: x.isNotNull()), F.lit(False)), "declared_event_kinds_invalid"),
+        (thing & ~F.coalesce(F.forall(strings("$.declaredSurfaces"), lambda x: known(x, SURFACES)), F.lit(False)), "declared_surfaces_invalid"),
+        (thing & stated & ~missing.startswith("OBJECT"), "missing_record_invalid"), (thing & stated & missing.startswith("OBJECT") & (F.coalesce(_string(v, "$.missingRecord.reason"), F.lit("")) == ""), "missing_record_reason_invalid"),
+    ]
+    codes = F.array_compact(F.array(*(F.when(bad, code) for bad, code in checks)))
+    return boundaries.withColumn("_v", F.try_parse_json("boundary")).select("trace_id", F.explode(codes).alias("code"))
+
+
+def parent_issues(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, code: spans whose parent_id isn't a span of the trace."""
+    known = spans.select("trace_id", F.col("span_id").alias("parent_id")).distinct()
+    return spans.where("parent_id is not null").join(known, ["trace_id", "parent_id"], "left_anti").select("trace_id", "span_id", F.lit("unknown_parent_span").alias("code"))
+
+
 def first_stage(issues: DataFrame) -> DataFrame:
     """Issues (record_id, stage, ...) of each record's first failing stage: later stages weren't reached."""
     return issues.withColumn("_first", F.min("stage").over(Window.partitionBy("record_id"))).where("stage = _first").drop("_first")

@@ -119,6 +119,25 @@ def observation_issues(spark, d):
     return evidence.observation_issues(e)
 
 
+def evidence_issues(spark, d):
+    """observation_issues with the checks by kind: payloads are made by id."""
+    e = lifecycle_events(spark, d)
+    i, kind = F.col("i"), F.col("kind")
+    ok = '{"providerNativeFidelity":"structurally_faithful","model":"m","provider":"p"}'
+    request = choose(i % 5, {
+        0: "{}", 1: '{"requestEnvelope":{}}', 2: '{"requestEnvelope":{"providerNativeFidelity":"structurally_faithful","model":"m"}}', 3: '{"requestEnvelope":{"providerNativeFidelity":"byte_faithful","model":"m","provider":"p"}}',
+        4: '{"requestEnvelope":' + ok + ',"contextContributions":[1,{"artifactId":"a","position":0},{"position":-1}]}'})
+    ends = F.concat(F.lit('{"lifecycleTarget":"'), "target", F.lit('","lifecycleEffect":"'), "effect", F.lit('","actor":"'), choose(i % 3, {0: "model", 1: "tool", 2: "nobody"}), F.when(i % 4 > 0, '","error":{},"cancellation":{}}').otherwise('"}'))
+    payload = F.when(kind == "model_request", request).when(kind.isin("error", "cancelled"), ends).otherwise("{}")
+    return evidence.validation_issues(e.withColumns({"observation_id": F.concat(F.lit("o-"), F.col("event_id")), "payload": F.when(F.col("payload").isNotNull(), payload)}))
+
+
+def parent_issues(spark, d):
+    """Started spans of a trace, each the other's child."""
+    spans = lifecycle_events(spark, d).where("kind = 'span_start'").select("trace_id", "span_id").distinct()
+    return evidence.parent_issues(spans.withColumn("parent_id", F.when(F.col("span_id") == "s0", "s1")))
+
+
 def kind_projection(spark, d):
     return evidence.project_kinds(lifecycle_events(spark, d)).select("trace_id", "event_id", "kind", "event_type", "content_phase", "outcome")
 
@@ -138,7 +157,7 @@ def loss_report(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     exact_replays, content_conflicts, seq_collisions, retained_positions, moved_duplicates, sequence_gaps, evidence_completeness, content_digest, trace_status, span_status, orphan_references,
-    start_issues, retry_references, observation_issues, kind_projection, trace_projection, loss_report,
+    start_issues, retry_references, observation_issues, evidence_issues, parent_issues, kind_projection, trace_projection, loss_report,
 )}
 
 
@@ -185,3 +204,13 @@ ORACLE = {
     "loss_report": _PROJECTED + """, f(position, path, outcome) AS (VALUES (0, 'trace.id', 'exact'), (1, 'trace.startedAt', 'exact'), (2, 'trace.status', 'partial'), (3, 'trace.runId', 'unavailable'), (4, 'trace.agent', 'unavailable'), (5, 'trace.task', 'unavailable'), (6, 'trace.mode', 'inferred'), (7, 'trace.capturePolicy', 'inferred'), (8, 'trace.spans', 'unavailable'), (9, 'trace.analysis', 'unavailable'))
  SELECT trace_id, position, path, outcome FROM pr, f UNION ALL SELECT trace_id, 10, 'trace.model', CASE WHEN model IS NULL THEN 'unavailable' ELSE 'exact' END FROM pr UNION ALL SELECT trace_id, 11, 'trace.events', CASE WHEN dropped > 0 THEN 'partial' ELSE 'exact' END FROM pr""",
 }
+ORACLE["evidence_issues"] = ORACLE["observation_issues"] + """ UNION ALL SELECT trace_id, 'o-' || event_id, unnest(list_filter([
+ CASE WHEN kind = 'model_request' AND (k IS NULL OR i % 5 = 0) THEN 'model_request_missing_envelope' END, CASE WHEN kind = 'model_request' AND k IS NOT NULL AND i % 5 = 1 THEN 'envelope_invalid_fidelity' END,
+ CASE WHEN kind = 'model_request' AND k IS NOT NULL AND i % 5 = 2 THEN 'request_envelope_missing_provider' END, CASE WHEN kind = 'model_request' AND k IS NOT NULL AND i % 5 = 3 THEN 'byte_faithful_requires_native_fields' END,
+ CASE WHEN kind = 'model_request' AND k IS NOT NULL AND i % 5 = 3 THEN 'byte_faithful_requires_native_hash' END, CASE WHEN kind = 'model_request' AND k IS NOT NULL AND i % 5 = 4 THEN 'contribution_invalid' END,
+ CASE WHEN kind = 'model_request' AND k IS NOT NULL AND i % 5 = 4 THEN 'contribution_missing_artifact' END, CASE WHEN kind = 'model_request' AND k IS NOT NULL AND i % 5 = 4 THEN 'contribution_invalid_position' END,
+ CASE WHEN kind = 'error' AND (k IS NULL OR i % 3 = 2) THEN 'error_invalid_actor' END, CASE WHEN kind = 'error' AND (k IS NULL OR i % 4 = 0) THEN 'error_payload_missing' END, CASE WHEN kind = 'cancelled' AND (k IS NULL OR i % 4 = 0) THEN 'cancellation_missing' END,
+ CASE WHEN kind IN ('error', 'cancelled') AND k IS NULL THEN kind || '_invalid_target' END, CASE WHEN kind IN ('error', 'cancelled') AND k IS NULL THEN kind || '_invalid_effect' END,
+ CASE WHEN kind IN ('error', 'cancelled') AND k IS NOT NULL AND target = 'span' AND span_id IS NULL THEN 'target_span_requires_span' END, CASE WHEN kind IN ('error', 'cancelled') AND k IS NOT NULL AND target = 'trace' AND span_id IS NOT NULL THEN 'target_trace_requires_null_span' END
+ ], lambda c: c IS NOT NULL)) FROM v"""
+ORACLE["parent_issues"] = V7 + ", s AS (SELECT DISTINCT trace_id, span_id FROM v WHERE kind = 'span_start') SELECT trace_id, span_id, 'unknown_parent_span' AS code FROM s WHERE span_id = 's0' AND NOT EXISTS (SELECT 1 FROM s x WHERE x.trace_id = s.trace_id AND x.span_id = 's1')"

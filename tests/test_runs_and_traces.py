@@ -154,3 +154,25 @@ def test_config():
 def test_every_event_gets_a_verdict(spark, sf_dir):
     rows = entry.queries()["append_verdicts_all"](spark, sf_dir).collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+@pytest.mark.parametrize("kind,span,payload,codes", [
+    ("error", None, '{"actor":"tool","lifecycleTarget":"span","lifecycleEffect":"fail","error":{}}', ["target_span_requires_span"]),
+    ("cancelled", "s", '{"lifecycleTarget":"trace","lifecycleEffect":"cancel","cancellation":{}}', ["target_trace_requires_null_span"]),
+    ("tool_call", None, '{"tool":{"name":1}}', ["tool_call_invalid"]), ("model_usage", None, '{"usage":"{}"}', ["usage_missing"]), ("model_usage", None, '{"usage":{}}', []),
+    ("retry", None, '{"retry":{"originalRequestEventId":"","attempt":1.5}}', ["retry_invalid_attempt", "retry_missing_original"]), ("retry", None, '{"retry":{"originalRequestEventId":"e","attempt":2}}', []),
+    ("model_response", None, '{"responseEnvelope":{"providerNativeFidelity":"structurally_faithful","nativeContentHash":null}}', ["native_content_hash_invalid"]), ("mcp_result", None, "[1]", ["mcp_result_invalid", "payload_not_object"]),
+])
+def test_kinds_are_checked(spark, kind, span, payload, codes):
+    row = ("t", "e", 0, "o", payload, span, kind, "2024-01-01T00:00:00.000Z", "captured", "returned")
+    df = spark.createDataFrame([row], "trace_id string, event_id string, seq long, observation_id string, payload string, span_id string, kind string, captured_at string, status string, role string")
+    assert sorted(r.code for r in evidence.validation_issues(df).collect()) == codes
+
+
+def test_boundaries_are_checked(spark):
+    good = {"captureSurface": "mcp", "observationBoundary": "returned", "declaredEventKinds": ["error"], "declaredSurfaces": ["mcp"], "missingRecord": None}
+    rows = [good, good | {"captureSurface": "x"}, good | {"observationBoundary": 1}, good | {"declaredEventKinds": [1]}, good | {"declaredSurfaces": ["x"]}, good | {"missingRecord": 1}, good | {"missingRecord": {}}, []]
+    df = spark.createDataFrame([(str(i), json.dumps(b)) for i, b in enumerate(rows)] + [("8", None)], "trace_id string, boundary string")
+    assert sorted((r.trace_id, r.code) for r in evidence.boundary_issues(df).collect()) == [
+        ("1", "capture_surface_invalid"), ("2", "observation_boundary_invalid"), ("3", "declared_event_kinds_invalid"), ("4", "declared_surfaces_invalid"), ("5", "missing_record_invalid"), ("6", "missing_record_reason_invalid"),
+        ("7", "capture_boundary_missing"), ("8", "capture_boundary_missing")]
