@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import choose
-from ledgerline.operators import evidence
+from ledgerline.operators import canonical, evidence
 from ledgerline.sources.tables import lineitem_observations, table
 
 V4 = """WITH p AS (SELECT l_orderkey AS trace_id, 'e' || (l_partkey % 40) AS event_id, CAST((l_linenumber - 1) * 2 + l_suppkey % 2 AS BIGINT) AS seq, count(*) AS n, min(l_returnflag) <> max(l_returnflag) AS conflict, min(l_returnflag) AS payload,
@@ -90,6 +90,14 @@ def content_digest(spark, d):
     return evidence.retained(_at(spark, d)).select("trace_id", "event_id", "seq", F.sha2(F.concat(F.lit('{"payload":"'), "payload", F.lit('"}')), 256).alias("digest"))
 
 
+def event_digest(spark, d):
+    """The digest of each event's canonical JSON: all fields of the container and those of the payload."""
+    names = {"eventId": "event_id", "traceId": "trace_id", "spanId": "span_id", "seq": "seq", "kind": "kind", "capturedAt": "captured_at", "evidenceStatus": "status", "observationRole": "role"}
+    box = F.to_json(F.struct(*(F.col(c).alias(n) for n, c in names.items())))
+    rows = lifecycle_events(spark, d).select("trace_id", "event_id", "seq", box.alias("container"), F.concat(F.lit('{"k":'), "payload", F.lit("}")).alias("payload"))
+    return canonical.project(rows).select("trace_id", "event_id", "seq", F.sha2("event", 256).alias("digest"))
+
+
 def trace_status(spark, d):
     return evidence.trace_status(lifecycle_events(spark, d))
 
@@ -156,7 +164,7 @@ def loss_report(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_replays, content_conflicts, seq_collisions, retained_positions, moved_duplicates, sequence_gaps, evidence_completeness, content_digest, trace_status, span_status, orphan_references,
+    exact_replays, content_conflicts, seq_collisions, retained_positions, moved_duplicates, sequence_gaps, evidence_completeness, content_digest, event_digest, trace_status, span_status, orphan_references,
     start_issues, retry_references, observation_issues, evidence_issues, parent_issues, kind_projection, trace_projection, loss_report,
 )}
 
@@ -214,3 +222,6 @@ ORACLE["evidence_issues"] = ORACLE["observation_issues"] + """ UNION ALL SELECT
  CASE WHEN kind IN ('error', 'cancelled') AND k IS NOT NULL AND target = 'span' AND span_id IS NULL THEN 'target_span_requires_span' END, CASE WHEN kind IN ('error', 'cancelled') AND k IS NOT NULL AND target = 'trace' AND span_id IS NOT NULL THEN 'target_trace_requires_null_span' END
  ], lambda c: c IS NOT NULL)) FROM v"""
 ORACLE["parent_issues"] = V7 + ", s AS (SELECT DISTINCT trace_id, span_id FROM v WHERE kind = 'span_start') SELECT trace_id, span_id, 'unknown_parent_span' AS code FROM s WHERE span_id = 's0' AND NOT EXISTS (SELECT 1 FROM s x WHERE x.trace_id = s.trace_id AND x.span_id = 's1')"
+_JSON = """CASE WHEN {0} IS NULL THEN 'null' ELSE '"' || {0} || '"' END"""
+ORACLE["event_digest"] = V7 + f"""SELECT trace_id, event_id, seq, sha256('{{"capturedAt":"' || captured_at || '","eventId":"' || event_id || '","evidenceStatus":"' || status || '",' || CASE WHEN k IS NULL OR kind IN ('interaction_start', 'interaction_end', 'span_start', 'span_end') THEN '' ELSE '"k":' || k || ',' END
+ || '"kind":"' || kind || '",' || CASE WHEN role IS NULL OR kind IN ('interaction_start', 'interaction_end', 'span_start', 'span_end') THEN '' ELSE '"observationRole":"' || role || '",' END || '"seq":' || seq || ',"spanId":' || {_JSON.format('span_id')} || ',"traceId":"' || trace_id || '"}}') AS digest FROM v"""

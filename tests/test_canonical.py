@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import __spark_entry__ as entry
 import pytest
 
 from ledgerline.operators import canonical as c
@@ -34,3 +35,18 @@ def test_columns(spark):
     got = [(r[0], r[1]) for r in df.select(c.canonical("j"), c.digest("j")).collect()]
     assert got == [('{"a":"x","b":1}', hashlib.sha256(b'{"a":"x","b":1}').hexdigest()), (None, None), (None, None)]
     assert json.loads(c.project(df).first().event)["eventId"] == "e"
+
+
+def test_events_with_equal_payloads_have_own_digests(spark, sf_dir):
+    from ledgerline.plans.evidence import lifecycle_events
+
+    rows = entry.queries()["event_digest"](spark, sf_dir).collect()
+    assert len({r.digest for r in rows}) == len(rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    names = {"eventId": "event_id", "traceId": "trace_id", "spanId": "span_id", "seq": "seq", "kind": "kind", "capturedAt": "captured_at", "evidenceStatus": "status"}
+    want = {}
+    for e in lifecycle_events(spark, sf_dir).collect():
+        event = {n: e[c] for n, c in names.items()}
+        if e.kind not in ("interaction_start", "interaction_end", "span_start", "span_end"):
+            event |= ({"observationRole": e.role} if e.role else {}) | ({"k": int(e.payload)} if e.payload else {})
+        want[e.event_id] = hashlib.sha256(json.dumps(event, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert {r.event_id: r.digest for r in rows} == want
