@@ -11,13 +11,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import losses
 from ledgerline.functions.text import choose
 from ledgerline.functions.vocabulary import ACTORS, CONTROL_KINDS, EVENT_KINDS, KIND_TO_EVENT, ROLE_TO_PHASE, ROLES, STATUSES, SURFACES, TARGETS
 
 TIMESTAMP = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3}Z$"
 REQUEST_KIND = r"_(request|call)$"
 #: Codes of a rejected record, by the bucket that a projection reports.
-ISSUE_BUCKETS = {"unsupported_evidence_schema_version": "unsupported_schema_version"}
+ISSUE_BUCKETS = {"unsupported_evidence_schema_version": "unsupported_schema_version"} | dict.fromkeys(
+    ("trace_disagrees_with_derivation", "analysis_disagrees_with_derivation", "completeness_disagrees_with_derivation"), "trace_derivation_conflict") | dict.fromkeys(
+    ("terminal_declaration_not_final", "cancelled_invalid_effect", "cancelled_invalid_target", "error_invalid_effect", "error_invalid_target", "error_invalid_actor", "target_span_requires_span",
+     "target_trace_requires_null_span"), "invalid_lifecycle")
 
 
 def positions(observations: DataFrame) -> DataFrame:
@@ -317,5 +321,42 @@ def loss_report(projected: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def loss_mappings(statuses: DataFrame, events: DataFrame) -> DataFrame:
+    """trace_id, section, event, item (their order), path, stage, outcome and reason: what an older trace can't hold.
+
+    Section 0 is the trace's, 1 the spans', 2 the events': one row for each event (partial, or unavailable if its kind has no
+    type) and one for each field of it that is lost.  Envelopes and usage aren't in flat rows, nor are conditions and
+    declarations; so they have no rows.
+    """
+    def rows(df: DataFrame, section: int, event: Column, item: int, path: Column, outcome: Column, reason: Column) -> DataFrame:
+        return df.select("trace_id", F.lit(section).alias("section"), event.cast("long").alias("event"), F.lit(item).alias("item"), path.alias("path"), F.lit("evidence_to_legacy_trace").alias("stage"), outcome.alias("outcome"), reason.alias("reason"))
+
+    told = events.groupBy("trace_id").agg(
+        F.max(F.when(F.col("kind") == "model_request", F.col("model"))).alias("model"), F.max(((F.col("kind") == "span_start") & F.col("span_id").isNotNull()).cast("int")).alias("spans"))
+    traces, nought = statuses.join(told, "trace_id"), F.lit(0)
+    done, derived = F.col("finished_at").isNotNull(), F.col("model").isNotNull()
+    not_done = F.concat(F.lit('canonical trace has no observed terminal time (status "'), "status", F.lit('"); legacy endedAt is omitted'))
+    special = {
+        "trace.finishedAt": (F.lit("trace.finishedAt"), F.when(done, "exact").otherwise("unavailable"), F.when(done, losses.FINISHED).otherwise(not_done)),
+        "trace.status": (F.lit("trace.status"), F.lit("partial"), choose(F.col("status"), losses.STATUS_REASONS)),
+        "trace.provider": (F.when(derived, losses.INFERRED[0]).otherwise("trace.provider"), F.when(derived, "inferred").otherwise("unavailable"), F.when(derived, losses.INFERRED[1]).otherwise(losses.NO_PROVIDER)),
+    }
+    fields = ("path", "outcome", "reason")
+    fixed = F.array(*(F.struct(F.lit(i).alias("item"), *(c.alias(n) for n, c in zip(fields, special.get(p, tuple(map(F.lit, (p, o, r)))), strict=True))) for i, (p, o, r) in enumerate(losses.LOSSES)))
+    first = traces.select("trace_id", F.explode(fixed).alias("x")).select("trace_id", F.lit(0).alias("section"), nought.cast("long").alias("event"), "x.item", "x.path", F.lit("evidence_to_legacy_trace").alias("stage"), "x.outcome", "x.reason")
+    spans = rows(traces.where("spans = 1"), 1, nought, 0, F.lit("trace.spans"), F.lit("unavailable"), F.lit(losses.SPANS))
+    at = F.row_number().over(Window.partitionBy("trace_id").orderBy("seq")) - 1
+    kinds = project_kinds(events).withColumn("at", at)
+    path = F.concat(F.lit("events["), F.col("at").cast("string"), F.lit("]"))
+    kept, unseen = F.col("event_type").isNotNull(), F.coalesce(F.col("role") == "unobservable", F.lit(False))
+    note = F.when(F.col("content_phase").isNotNull(), F.concat(F.lit('; observationRole "'), "role", F.lit('" approximated by ContentPhase "'), "content_phase", F.lit('"'))).when(unseen, '; observationRole "unobservable" has no ContentPhase approximation').otherwise("")
+    reason = F.when(kept, F.concat(F.lit('kind "'), "kind", F.lit('": '), choose(F.col("kind"), losses.KIND_REASONS), note)).otherwise(F.concat(F.lit('canonical event kind "'), "kind", F.lit('" has no legacy TraceEventType; omitted from the legacy trace view')))
+    lost = F.lit("unavailable")
+    out = [first, spans, rows(kinds, 2, F.col("at"), 0, path, F.when(kept, "partial").otherwise("unavailable"), reason),
+           rows(kinds.where(kept & unseen), 2, F.col("at"), 1, F.concat(path, F.lit(".observationRole")), lost, F.lit(losses.UNOBSERVABLE))]
+    out += [rows(kinds.where("kind = 'error'"), 2, F.col("at"), 2 + i, F.concat(path, F.lit(f".{name}")), lost, F.lit(why)) for i, (name, why) in enumerate(losses.ERROR_LOSSES)]
+    return reduce(DataFrame.unionByName, out)
+
+
 def translate_issue(code: Column) -> Column:
     return choose(code, ISSUE_BUCKETS, F.lit("invalid_evidence_record"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import losses
 from ledgerline.functions.text import choose
 from ledgerline.operators import canonical, evidence
 from ledgerline.sources.tables import lineitem_observations, table
@@ -163,9 +164,14 @@ def loss_report(spark, d):
     return evidence.loss_report(_projected(spark, d))
 
 
+def loss_mappings(spark, d):
+    e = lifecycle_events(spark, d)
+    return evidence.loss_mappings(evidence.trace_status(e), e)
+
+
 QUERIES = {f.__name__: f for f in (
     exact_replays, content_conflicts, seq_collisions, retained_positions, moved_duplicates, sequence_gaps, evidence_completeness, content_digest, event_digest, trace_status, span_status, orphan_references,
-    start_issues, retry_references, observation_issues, evidence_issues, parent_issues, kind_projection, trace_projection, loss_report,
+    start_issues, retry_references, observation_issues, evidence_issues, parent_issues, kind_projection, trace_projection, loss_report, loss_mappings,
 )}
 
 
@@ -225,3 +231,29 @@ ORACLE["parent_issues"] = V7 + ", s AS (SELECT DISTINCT trace_id, span_id FROM v
 _JSON = """CASE WHEN {0} IS NULL THEN 'null' ELSE '"' || {0} || '"' END"""
 ORACLE["event_digest"] = V7 + f"""SELECT trace_id, event_id, seq, sha256('{{"capturedAt":"' || captured_at || '","eventId":"' || event_id || '","evidenceStatus":"' || status || '",' || CASE WHEN k IS NULL OR kind IN ('interaction_start', 'interaction_end', 'span_start', 'span_end') THEN '' ELSE '"k":' || k || ',' END
  || '"kind":"' || kind || '",' || CASE WHEN role IS NULL OR kind IN ('interaction_start', 'interaction_end', 'span_start', 'span_end') THEN '' ELSE '"observationRole":"' || role || '",' END || '"seq":' || seq || ',"spanId":' || {_JSON.format('span_id')} || ',"traceId":"' || trace_id || '"}}') AS digest FROM v"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _cases(column: str, mapping: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in mapping.items()) + " END"
+
+
+_FIXED = ", ".join(f"({i}, '{p}', {_quoted(o or '')}, {_quoted(r or '')})" for i, (p, o, r) in enumerate(losses.LOSSES))
+_ERRORS = ", ".join(f"({2 + i}, '{name}', {_quoted(why)})" for i, (name, why) in enumerate(losses.ERROR_LOSSES))
+_ROLE = "CASE role WHEN 'application_constructed' THEN 'transformed' WHEN 'client_sent' THEN 'sent' WHEN 'provider_reported' THEN 'observed' WHEN 'returned' THEN 'returned' END"
+ORACLE["loss_mappings"] = V7 + ", " + _TRACE + f""", g AS (SELECT st.trace_id, any_value(st.status) AS status, (array_agg(v.model ORDER BY v.seq) FILTER (v.kind = 'model_request' AND v.model IS NOT NULL))[1] AS model, bool_or(v.kind = 'span_start' AND v.span_id IS NOT NULL) AS spans FROM st JOIN v USING (trace_id) GROUP BY 1),
+ f(item, path, outcome, reason) AS (VALUES {_FIXED}), m AS (SELECT *, {_KIND} IS NOT NULL AS kept, {_ROLE} AS phase FROM v),
+ o AS (SELECT trace_id, 0 AS section, 0 AS event, item, CASE WHEN item = 6 AND model IS NOT NULL THEN 'trace.events[].requestEnvelope' ELSE path END AS path,
+  CASE item WHEN 3 THEN CASE WHEN status = 'unknown' THEN 'unavailable' ELSE 'exact' END WHEN 6 THEN CASE WHEN model IS NULL THEN 'unavailable' ELSE 'inferred' END ELSE outcome END AS outcome,
+  CASE item WHEN 3 THEN CASE WHEN status = 'unknown' THEN 'canonical trace has no observed terminal time (status "unknown"); legacy endedAt is omitted' ELSE {_quoted(losses.FINISHED)} END WHEN 4 THEN {_cases('status', losses.STATUS_REASONS)}
+   WHEN 6 THEN CASE WHEN model IS NULL THEN {_quoted(losses.NO_PROVIDER)} ELSE {_quoted(losses.INFERRED[1])} END ELSE reason END AS reason FROM g, f
+  UNION ALL SELECT trace_id, 1, 0, 0, 'trace.spans', 'unavailable', {_quoted(losses.SPANS)} FROM g WHERE spans
+  UNION ALL SELECT trace_id, 2, seq, 0, 'events[' || seq || ']', CASE WHEN kept THEN 'partial' ELSE 'unavailable' END, CASE WHEN kept THEN 'kind "' || kind || '": ' || {_cases('kind', losses.KIND_REASONS)}
+    || CASE WHEN phase IS NOT NULL THEN '; observationRole "' || role || '" approximated by ContentPhase "' || phase || '"' WHEN role = 'unobservable' THEN '; observationRole "unobservable" has no ContentPhase approximation' ELSE '' END
+   ELSE 'canonical event kind "' || kind || '" has no legacy TraceEventType; omitted from the legacy trace view' END FROM m
+  UNION ALL SELECT trace_id, 2, seq, 1, 'events[' || seq || '].observationRole', 'unavailable', {_quoted(losses.UNOBSERVABLE)} FROM m WHERE kept AND role = 'unobservable'
+  UNION ALL SELECT trace_id, 2, seq, n, 'events[' || seq || '].' || x, 'unavailable', why FROM m, (VALUES {_ERRORS}) l(n, x, why) WHERE kind = 'error')
+ SELECT trace_id, section, event, item, path, 'evidence_to_legacy_trace' AS stage, outcome, reason FROM o"""

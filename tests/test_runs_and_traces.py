@@ -176,3 +176,21 @@ def test_boundaries_are_checked(spark):
     assert sorted((r.trace_id, r.code) for r in evidence.boundary_issues(df).collect()) == [
         ("1", "capture_surface_invalid"), ("2", "observation_boundary_invalid"), ("3", "declared_event_kinds_invalid"), ("4", "declared_surfaces_invalid"), ("5", "missing_record_invalid"), ("6", "missing_record_reason_invalid"),
         ("7", "capture_boundary_missing"), ("8", "capture_boundary_missing")]
+
+
+def test_losses_name_each_event(spark):
+    rows = [("t", "a", 0, "interaction_start", None, None, None, None, None, "x"), ("t", "b", 1, "model_request", "unobservable", None, None, None, None, "x"), ("t", "c", 2, "error", "returned", None, "trace", "fail", None, "x"), ("t", "d", 3, "retry", "returned", None, None, None, None, "x")]
+    e = spark.createDataFrame(rows, "trace_id string, event_id string, seq long, kind string, role string, span_id string, target string, effect string, model string, captured_at string")
+    got = evidence.loss_mappings(evidence.trace_status(e), e).orderBy("section", "event", "item").collect()
+    assert all(r.reason and r.stage == "evidence_to_legacy_trace" for r in got)
+    assert [(r.path, r.outcome) for r in got[:15]][6] == ("trace.provider", "unavailable")
+    assert [(r.path, r.outcome) for r in got[15:]] == [
+        ("events[0]", "unavailable"), ("events[1]", "partial"), ("events[1].observationRole", "unavailable"), ("events[2]", "partial"), ("events[2].actor", "unavailable"), ("events[2].lifecycleTarget", "unavailable"),
+        ("events[2].lifecycleEffect", "unavailable"), ("events[2].error", "unavailable"), ("events[3]", "unavailable")]
+    assert 'observationRole "returned" approximated by ContentPhase "returned"' in got[18].reason
+
+
+def test_issue_codes_have_their_buckets(spark):
+    codes = [("error_invalid_actor", "invalid_lifecycle"), ("trace_disagrees_with_derivation", "trace_derivation_conflict"), ("unsupported_evidence_schema_version", "unsupported_schema_version"), ("seq_invalid", "invalid_evidence_record")]
+    df = spark.createDataFrame(codes, "code string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", evidence.translate_issue(F.col("code"))).collect())
