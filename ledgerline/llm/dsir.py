@@ -155,7 +155,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     weighed = weigh(docs, ratios, text, key).drop(*(c for c in docs.columns if c not in keep))
     weighed = cut(weighed, "quality-weights")
     known = weighed.select(F.col(f"`{key}`").alias("k"), "_weight").join(F.broadcast(labels.where(tuning).select(F.col(key).alias("k"), "quality")), "k")
-    at = best_cut([(r["_weight"], r["quality"]) for r in known.limit(4 * most).collect()])
+    # An id in many rows counts once, by its mean weight (decimal, so that the order of rows doesn't matter).
+    mean = F.avg(F.col("_weight").cast("decimal(28,12)")).cast("double").alias("_weight")
+    at = best_cut([(r["_weight"], r["quality"]) for r in known.groupBy("k", "quality").agg(mean).collect()])  # at most `most` rows
     k = weighed.where(F.col("_weight") >= at).count() if at > -math.inf else None
     units = F.floor(F.col("_gumbel_key") * UNIT).cast("long")
     least = radix_threshold(weighed.select(units.alias("u")), "u", k) if k else None

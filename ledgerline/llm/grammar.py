@@ -190,12 +190,14 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", most: int = LABELLED) -> Model:
-    """Learns from at most `most` labelled rows, none of them held out."""
+    """Learns from at most `most` labelled ids and all their rows, none of them held out."""
     known = bounded_labels(labels.select(key, "toxic"), "toxic", key, most).select(F.col(key).alias("_k"), F.col("toxic").cast("long").alias("_toxic"))
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), F.col("_id") == F.col("_k"))
-    rows = cut(rows.select("_text", "_toxic").limit(4 * most), "toxic-rows")
+    rows = cut(rows.select("_k", "_text", "_toxic"), "toxic-rows")
     prefixes = learn_lexicon(rows, "_text", "_toxic")
-    seen = sums(rows, prefixes, "_text").select("_kinds", "_toxic").collect()  # bounded, as the labelled rows are
+    # An id in many rows counts once, by its means (decimal, so that the order of rows doesn't matter).
+    means = F.array(*(F.avg(F.col("_kinds")[i].cast("decimal(28,12)")).cast("double") for i in range(KINDS)))
+    seen = sums(rows, prefixes, "_text").groupBy("_k", "_toxic").agg(means.alias("_kinds")).orderBy("_k").collect()  # at most `most` rows
     x = np.array([r["_kinds"] for r in seen]) if seen else np.zeros((0, KINDS))
     return Model(prefixes, *(fit(x, np.array([r["_toxic"] for r in seen], float)) if seen else (PRIOR, PRIOR_BIAS)))
 

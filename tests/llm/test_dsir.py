@@ -70,3 +70,15 @@ def test_noise_is_gumbel(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     mean, sd = dsir.weigh(docs, np.zeros(dsir.BUCKETS)).agg(F.avg("_gumbel_key"), F.stddev("_gumbel_key")).first()
     assert abs(mean - 0.5772) < 0.05 and abs(sd - math.pi / math.sqrt(6)) < 0.05
+
+
+def test_an_id_in_many_rows_counts_once(spark):
+    import zlib
+
+    fold = lambda n: [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == n]
+    tuning, other = fold(dsir.TUNING_FOLD)[:2], fold((dsir.TUNING_FOLD % 4) + 1)[:2]
+    good, bad = "the river runs slowly through the old town " * 3, "zx qv kk zz xq vv jj wq " * 4
+    docs = [(tuning[0], good)] * 60 + [(other[0], good), (other[1], bad), (tuning[1], bad)]
+    labels = spark.createDataFrame([(tuning[0], 1), (tuning[1], 0), (other[0], 1), (other[1], 0)], "doc_id long, quality int")
+    rows = dsir.classify(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), labels, most=4).collect()
+    assert not any(r["_kept"] for r in rows if r.text == bad) and any(r["_kept"] for r in rows)

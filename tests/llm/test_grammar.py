@@ -59,3 +59,13 @@ def test_odd_rows_and_no_labels(spark):
     same = spark.createDataFrame([(1, 1), (2, 1), (3, None)], "doc_id long, toxic int")
     model = grammar.train(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(2))), same)
     assert model.bias == grammar.PRIOR_BIAS
+
+
+def test_an_id_in_many_rows_counts_once(spark):
+    import zlib
+
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 0][:2]
+    docs = spark.createDataFrame([(ids[0], "you worthless idiots are scum")] * 60 + [(ids[1], "a calm day at the lake")] * 60, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, toxic int")
+    model = grammar.train(docs, labels, most=2)
+    assert model.prefixes and (model.weights != grammar.PRIOR).any()
