@@ -7,8 +7,10 @@ Template: every turn is `<|role|>text</s>`, the role percent-encoded.  What coul
 (`<|`, `<s>`, `</s>`, `[INST]`, `[/INST]`) gets a backslash after its bracket; such a string that has backslashes there
 already gets one more, so that taking one away restores every text.
 
-Null roles and texts are empty.  A record whose fingerprint no mapping has keeps null turns and layout.  An
-empty table has no rows.
+Null roles and texts are empty.  A record whose fingerprint no mapping has, or that isn't valid JSON, keeps null turns and
+layout; in a conversation gathered from several records it is counted, and the turns of the others stay.  Texts of
+any length are mapped: what is fingerprinted is the record without its values.  An empty table has no rows.  Columns of the
+caller pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +22,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import pack
+
 TURNS = "array<struct<role:string,text:string>>"
 #: Spark's type names of scalars, which a fingerprint leaves out.
 SCALAR = r"\b(STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|VOID|DECIMAL\(\d+,\s*\d+\)|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY)\b"
+#: No string is too long for the JSON reader.
+JSON = {"maxStringLen": str(2**31 - 1)}
+#: Stands for an escaped quote or backslash in a record without values.
+ESCAPED = "\N{SYMBOL FOR ESCAPE}"
 MARK = r"(/?s>|\|)"
 INST = r"(/?INST\])"
 
@@ -52,7 +60,7 @@ class Layout:
         return out
 
     def turns(self, record: Column) -> Column:
-        row = F.from_json(record, self.schema)
+        row = F.from_json(record, self.schema, JSON)
         if self.fixed:
             made = [
                 F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *(F.when(row[c] != "", row[c]) for c in cols)).alias("text"))
@@ -95,22 +103,33 @@ LAYOUTS = (
 )
 
 
+def bare(record: Column) -> Column:
+    """A JSON text with empty strings for its string values.
+
+    Equal neighbours in an array of flat objects count once.  So the length depends on the fields, not on texts or turns.
+    """
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit(ESCAPED)), F.lit('\\"'), F.lit(ESCAPED))
+    short = F.regexp_replace(plain, r'"([^"]*+)"(\s*+:)|"[^"]*+"', '"$1"$2')
+    parts = F.split(short, r"(?<=\})\s*+,\s*+(?=\{)")
+    flat = lambda p: p.rlike(r"^\{[^{}\[\]]*+\}$")
+    before = F.concat(F.array(F.lit("")), parts)
+    once = F.array_compact(F.zip_with(parts, before, lambda p, q: F.when((p != q) | ~flat(p), p)))
+    return F.array_join(once, ",")
+
+
 def fingerprint(record: Column) -> Column:
     """The hash of a JSON text's nested field paths; null if it isn't JSON."""
-    return F.sha2(F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), SCALAR, ""), 256)
+    return F.sha2(F.regexp_replace(F.schema_of_variant(F.try_parse_json(bare(record))), SCALAR, ""), 256)
 
 
-def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with `layout` and `turns` (role, text), both null where no mapping has the record's fingerprint."""
-    print_ = "_fingerprint"
-    while print_ in records.columns:
-        print_ = "_" + print_
-    rows = records.drop("layout", "turns").withColumn(print_, fingerprint(F.col(record)))
+def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, carry: list[str] | None = None) -> DataFrame:
+    """`doc` (the columns `carry` of records, all by default), `layout` and `turns` (role, text), both null where no mapping has the record's fingerprint."""
+    rows = pack(records, carry, own=record).withColumn("print", fingerprint(F.col("own")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in reversed(layouts):
-        fits = F.col(print_).isin(x.fingerprints())
-        layout, turns = F.when(fits, x.name).otherwise(layout), F.when(fits, x.turns(F.col(record))).otherwise(turns)
-    return rows.withColumns({"layout": layout, "turns": turns}).drop(print_)
+        fits = F.col("print").isin(x.fingerprints())
+        layout, turns = F.when(fits, x.name).otherwise(layout), F.when(fits, x.turns(F.col("own"))).otherwise(turns)
+    return rows.select("doc", layout.alias("layout"), turns.alias("turns")).withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout")))
 
 
 def escape(text: Column) -> Column:
@@ -162,6 +181,12 @@ def under_loss(formatted: Column, loss: Column) -> Column:
 
 
 def gather(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Conversations from records of single turns (`turns` of each row), in order of turn, then of the turns themselves."""
-    grouped = rows.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(turn, "turns"))).alias("_all"))
-    return grouped.select(conv, F.flatten(F.transform("_all", lambda x: x["turns"])).alias("turns"))
+    """conversation, turns and unmapped, from the records of single turns that canonical() gives.
+
+    Turns are in order of turn, then of the turns themselves.  Records without a mapping add none and are counted.  A conversation's
+    turns are one row, as its formatted text is.
+    """
+    each = F.struct(F.col("doc")[turn].alias("at"), "turns")
+    grouped = rows.groupBy(F.col("doc")[conv].alias("conversation")).agg(F.sort_array(F.collect_list(each)).alias("all"), F.sum(F.col("turns").isNull().cast("long")).alias("unmapped"))
+    own = F.transform("all", lambda x: F.coalesce(x["turns"], F.array().cast(TURNS)))
+    return grouped.select("conversation", F.flatten(own).alias("turns"), "unmapped")

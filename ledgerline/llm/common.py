@@ -30,12 +30,77 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and any executor can read it."""
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and any executor can read it.
+
+    The folder goes with discard(), at the end of the scratch() around, or else of the application.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    if _OPEN:
+        _OPEN[-1].frames.append(out)
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what cut() wrote for these; nothing that is still to be computed may read them."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            fs, at = _file_system(df.sparkSession, path)
+            fs.delete(at, True)
+
+
+class scratch:
+    """with scratch() as own: what cut() writes inside is deleted at the end, but for what own.keep() was given."""
+
+    def __enter__(self) -> scratch:
+        self.frames: list[DataFrame] = []
+        _OPEN.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.frames = [f for f in self.frames if f is not df]
+        outer = _OPEN[: _OPEN.index(self)]
+        if outer:
+            outer[-1].frames.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        _OPEN.remove(self)
+        discard(*self.frames)
+
+
+_OPEN: list[scratch] = []
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def pack(docs: DataFrame, carry: Iterable[str] | None = None, **own: str) -> DataFrame:
+    """`doc`, a struct of the columns `carry` of docs (all by default), beside copies of some columns under own names.
+
+    So the columns that an operator makes can't clash with the caller's.
+    """
+    names = docs.columns if carry is None else list(carry)
+    return docs.select(F.struct(*map(quoted, names)).alias("doc"), *(quoted(c).alias(n) for n, c in own.items()))
+
+
+def unpack(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The caller's columns again."""
+    return df.select(*(F.col("doc")[c].alias(c) for c in columns))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -57,16 +122,18 @@ def slices(batch: pa.RecordBatch, *columns: int, step: int = SLICE) -> Iterator[
 
 
 def append_columns(
-    df: DataFrame, value: Column, added: T.StructType, make: Callable[[Iterable], Iterator[list[tuple]]]
+    df: DataFrame, value: Column, added: T.StructType, make: Callable[[Iterable], Iterator[list[tuple]]], gone: Iterable[str] = ()
 ) -> DataFrame:
-    """df with the columns `added`, made by Python from the one column `value`.
+    """df without the columns `gone`, with the columns `added`, made by Python from the one column `value`.
 
     make() gets an iterator of lists of values and yields one list of tuples for each.  Other columns pass
     through Arrow untouched, whatever their names.
     """
     (arg,) = fresh(df, "_arg")
-    n, width = len(df.columns), len(added)
-    schema = T.StructType([*df.schema.fields, *added.fields])
+    gone = set(gone)
+    stay = [f for f in df.schema.fields if f.name not in gone]
+    n, width = len(stay), len(added)
+    schema = T.StructType([*stay, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -87,7 +154,7 @@ def append_columns(
                 [*part.columns[:n], *extra], names=[*part.schema.names[:n], *(f.name for f in own)]
             )
 
-    return df.withColumn(arg, value).mapInArrow(run, schema)
+    return df.select(*(quoted(f.name) for f in stay), value.alias(arg)).mapInArrow(run, schema)
 
 
 def radix_threshold(df: DataFrame, key: str, k: int, bits: int = 16) -> int | None:

@@ -1,14 +1,19 @@
 """Quality classification by importance resampling.
 
 Two generative models of hashed n-grams, one of target text (documents labelled good) and one of all raw text, give
-each document the log ratio of its probabilities.  A document is kept if that weight plus Gumbel noise is among the k
-largest (the Gumbel top-k trick: sampling without replacement in proportion to the weights).  k is the number of
-documents whose weight reaches the cut that parts good from bad labels best.
+each document the log ratio of its probabilities, its importance weight.  A resample of k documents is drawn without
+replacement with chances in proportion to the importance: standard Gumbel noise is added to the log weights, and the
+k largest stay.  k is the number of documents wanted and knows nothing of the weights: by default as many as
+the share of good labels says, plus SLACK standard errors of that share (so that a chance shortage of good labels
+costs no good document).
 
 Tokens are runs of word characters and runs of other characters, letter case kept; features are the hashed tokens and
-pairs of neighbours, and one feature of its own for a pair that the document had before.  A null or empty text has no
-features and weight 0.  Noise comes from the id's hash: a repeated row has the same fate as its twin.  Without labels
-of both kinds all documents are kept.
+pairs of neighbours, and one feature of its own for a pair that the document had before.  The log weight is that of
+TYPICAL average features of the text; NEUTRAL features of no weight are mixed into the average, so that few features
+say little.  One formula holds for all lengths.  A null or empty text has no features and log weight 0.
+
+Noise comes from the id's hash: a repeated row has the same fate as its twin (all rows that tie with the k-th
+stay).  Without labels of both kinds all documents are kept.  Columns of the caller pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,23 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns, cut, fresh, radix_threshold
+from ledgerline.llm.common import append_columns, cut, discard, pack, quoted, radix_threshold, unpack
 
 BUCKETS = 1 << 14
 #: Labelled rows used at most, those whose ids have the least hashes.
 LABELLED = 20_000
 #: Counts added to each bucket of the target model, and in proportion to the raw one's: rare n-grams decide little.
 SMOOTHING = 4.0
-#: The good labels of this fold (crc32 of the id as text, modulo 5) are left out of the target model, to find the cut.
-TUNING_FOLD = 1
-#: A longer text weighs as much as so many of its average features: else length decides more than what a text is like.
-LENGTH = 200
-#: The cut is at least so far below the good documents above it, or halfway to the bad ones.
-MARGIN = 5.0
+TYPICAL, NEUTRAL = 10.0, 10.0
+SLACK = 2.0
 #: Keys are compared in units of 1 / UNIT.
 UNIT = 1_000_000
 REMEMBERED = 400_000
@@ -79,11 +80,10 @@ def bounded_labels(labels: DataFrame, value: str, key: str = "doc_id", most: int
 
 def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> np.ndarray:
     """log(target probability / raw probability) by bucket, counted over all documents."""
-    arg, good = fresh(docs, "_arg", "_good")
     # At most LABELLED rows.
-    good_ids = labels.where("quality = 1").select(F.col(key).alias(arg), F.lit(True).alias(good))
-    rows = docs.select(key, text).join(F.broadcast(good_ids), F.col(f"`{key}`") == F.col(arg), "left")
-    rows = rows.select(F.col(f"`{text}`").cast("binary").alias("t"), F.coalesce(good, F.lit(False)).alias("g"))
+    good_ids = labels.where("quality = 1").select(quoted(key).alias("good_id"), F.lit(True).alias("good"))
+    rows = docs.select(quoted(key).alias("own_id"), quoted(text).cast("binary").alias("t")).join(F.broadcast(good_ids), F.col("own_id") == F.col("good_id"), "left")
+    rows = rows.select("t", F.coalesce("good", F.lit(False)).alias("g"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, sums = Features(buckets), np.zeros((2, buckets), np.int64)
@@ -108,9 +108,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     return np.log((target + SMOOTHING) / (raw * (target.sum() / raw.sum()) + SMOOTHING))  # the totals are then equal
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", key: str = "doc_id", seed: int = 17) -> DataFrame:
-    """docs with _n_features, _weight and _gumbel_key (weight plus noise)."""
-    docs = docs.drop("_n_features", "_weight", "_gumbel_key")
+def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """`doc` (the columns `carry` of docs, all by default), `own_id`, `n_features` and `weight` (the log ratio)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def make(values) -> Iterator[list[tuple]]:
@@ -119,52 +118,55 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str = "text", key: str = "d
             out = []
             for t in batch:
                 f = features(t)
-                out.append((len(f), float(own[f].sum()) * min(1.0, LENGTH / max(len(f), 1))))
+                out.append((len(f), float(own[f].sum()) * TYPICAL / (len(f) + NEUTRAL)))
             yield out
 
-    added = T.StructType([T.StructField("_n_features", T.LongType()), T.StructField("_weight", T.DoubleType())])
-    weighed = append_columns(docs, F.col(text).cast("binary"), added, make)
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), 12) + 0.5) / float(2**52)
-    return weighed.withColumn("_gumbel_key", F.col("_weight") - F.log(-F.log(u)))
-
-
-def best_cut(scored: list[tuple[float, int]]) -> float:
-    """The weight from which on a document counts as good: in the gap with the least sum of
-    both error rates, half as far below the good ones there as those are below the median good one."""
-    pos, neg = sum(1 for _, y in scored if y), sum(1 for _, y in scored if not y)
-    if not pos or not neg:
-        return -math.inf
-    scored = sorted(scored)
-    middle = sorted(w for w, y in scored if y)[pos // 2]
-    best, at, missed, caught = -1.0, -math.inf, 0, 0
-    for i, (w, y) in enumerate(scored):
-        missed, caught = missed + y, caught + (not y)
-        nxt = scored[i + 1][0] if i + 1 < len(scored) else w + 2.0
-        gain = caught / neg - missed / pos
-        if nxt > w and gain > best:
-            best, at = gain, nxt - min((nxt - w) / 2, max(MARGIN, (middle - nxt) / 2))
-    return at if best > 0 else -math.inf
-
-
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None, most: int = LABELLED) -> DataFrame:
-    """The columns `carry` of docs (all by default) with _n_features, _weight, _gumbel_key and _kept."""
-    labels = cut(bounded_labels(labels, "quality", key, most), "quality-labels")
-    tuning = F.crc32(F.col(key).cast("string").cast("binary")) % 5 == TUNING_FOLD
-    ratios = log_ratios(docs, labels.where(~tuning), text, key)
-    keep = list(dict.fromkeys([*(docs.columns if carry is None else carry)]))
-    weighed = weigh(docs, ratios, text, key).drop(*(c for c in docs.columns if c not in keep))
-    weighed = cut(weighed, "quality-weights")
-    known = weighed.select(F.col(f"`{key}`").alias("k"), "_weight").join(F.broadcast(labels.where(tuning).select(F.col(key).alias("k"), "quality")), "k")
-    # An id in many rows counts once, by its mean weight (decimal, so that the order of rows doesn't matter).
-    mean = F.avg(F.col("_weight").cast("decimal(28,12)")).cast("double").alias("_weight")
-    at = best_cut([(r["_weight"], r["quality"]) for r in known.groupBy("k", "quality").agg(mean).collect()])  # at most `most` rows
-    k = weighed.where(F.col("_weight") >= at).count() if at > -math.inf else None
-    units = F.floor(F.col("_gumbel_key") * UNIT).cast("long")
-    least = radix_threshold(weighed.select(units.alias("u")), "u", k) if k else None
-    kept = F.lit(True) if k is None else F.lit(False) if least is None else units >= F.lit(least)
-    return weighed.withColumn("_kept", kept)
-
-
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    added = T.StructType([T.StructField("n_features", T.LongType()), T.StructField("weight", T.DoubleType())])
+    rows = pack(docs, carry, own_id=key, own_text=text)
+    return append_columns(rows, F.col("own_text").cast("binary"), added, make, gone=["own_text"])
+
+
+def noise(key: Column, seed: int) -> Column:
+    """A standard Gumbel variable from the hash of the key."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 12) + 0.5) / float(2**52)
+    return -F.log(-F.log(u))
+
+
+def top_k(weighed: DataFrame, k: int | None, seed: int = 17) -> DataFrame:
+    """weighed (own_id, weight; written) with `gumbel_key` and `kept`, the k largest keys; all rows for None."""
+    drawn = weighed.withColumn("gumbel_key", F.col("weight") + noise(F.col("own_id"), seed))
+    if k is None:
+        return drawn.withColumn("kept", F.lit(True))
+    units = F.floor(F.col("gumbel_key") * UNIT).cast("long")
+    least = radix_threshold(drawn.select(units.alias("u")), "u", k)
+    return drawn.withColumn("kept", F.lit(k > 0) if least is None else units >= F.lit(least))
+
+
+def wanted(good: int, labelled: int, rows: int) -> int | None:
+    """How many of the rows are to be kept, by the labels; None if they are all of one kind."""
+    if not 0 < good < labelled:
+        return None
+    share = good / labelled
+    return min(rows, math.ceil(rows * (share + SLACK * math.sqrt(share * (1 - share) / labelled))))
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None,
+    most: int = LABELLED, size: int | None = None, seed: int = 17,
+) -> DataFrame:
+    """`doc` (the columns `carry` of docs, all by default), n_features, weight, gumbel_key and kept.
+
+    size: how many documents are wanted; None leaves it to the labels (see wanted()).
+    """
+    known = cut(bounded_labels(labels, "quality", key, most), "quality-labels")
+    good, labelled = known.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.count("*")).first()
+    ratios = log_ratios(docs, known, text, key)
+    discard(known)
+    weighed = cut(weigh(docs, ratios, text, key, carry), "quality-weights")
+    k = wanted(good, labelled, weighed.count()) if size is None else size
+    return top_k(weighed, k, seed).drop("own_id")
+
+
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", size: int | None = None, seed: int = 17) -> DataFrame:
     """The documents kept, with the columns of docs."""
-    return classify(docs, labels, text, key).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpack(classify(docs, labels, text, key, size=size, seed=seed).where("kept"), docs.columns)

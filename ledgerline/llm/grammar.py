@@ -9,6 +9,7 @@ a document's score is a logistic function of these sums, not of isolated words.
 Insults come from labelled rows (prefixes that toxic documents have and others lack); the words of the other classes are
 fixed below.  How much each kind of clause counts is fitted on the same rows, of which there are at most LABELLED.
 Null and empty texts have no clause and get the score of the bias alone.  Without toxic labels the prior weights hold.
+Columns of the caller pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns, cut
+from ledgerline.llm.common import append_columns, cut, pack, quoted
 from ledgerline.llm.dsir import bounded_labels
 
 LABELLED = 12_000
+#: Tasks that the labelled rows are dealt to; a bounded number of rows needs no more.
+TASKS = 24
 #: A prefix needs this share of the toxic rows, this many of them, and this log ratio of rates.
 LEAST_SHARE, LEAST_ROWS, LEAST_RATIO = 0.02, 4, 3.0
-#: Learned prefixes at most: each has at least LEAST_SHARE of the toxic rows, the best are taken.
-LEXICON = 4096
 PREFIXES = range(3, 9)
 SCOPE = 3
 #: A lone match counts in full in a short text, and less the longer the text is.
@@ -155,7 +156,8 @@ def learn_lexicon(rows: DataFrame, text: str = "text", label: str = "toxic") ->
     ratio = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n - n_toxic + 1))
     least = max(LEAST_ROWS, LEAST_SHARE * n_toxic) if n_toxic >= 2 * LEAST_ROWS else 2
     found = counted.where(F.col("a") >= least).select("prefix", "a", "b", ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
-    best = found.orderBy(F.desc("ratio"), F.desc("a"), "prefix").limit(LEXICON).collect()
+    # Each has LEAST_SHARE of the toxic rows: at most 1 / LEAST_SHARE times as many as an average row has prefixes.
+    best = found.collect()
     rows_of = {bytes(r["prefix"]): (r["a"], r["b"]) for r in best}
     # A longer prefix with nearly the same toxic rows and fewer others takes the place of a shorter one.
     vague = set()
@@ -192,8 +194,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", most: int = LABELLED) -> Model:
     """Learns from at most `most` labelled ids and all their rows, none of them held out."""
     known = bounded_labels(labels.select(key, "toxic"), "toxic", key, most).select(F.col(key).alias("_k"), F.col("toxic").cast("long").alias("_toxic"))
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), F.col("_id") == F.col("_k"))
-    rows = cut(rows.select("_k", "_text", "_toxic"), "toxic-rows")
+    rows = docs.select(quoted(key).alias("_id"), quoted(text).alias("_text")).join(F.broadcast(known), F.col("_id") == F.col("_k"))
+    rows = cut(rows.select("_k", "_text", "_toxic").repartition(TASKS), "toxic-rows")
     prefixes = learn_lexicon(rows, "_text", "_toxic")
     # An id in many rows counts once, by its means (decimal, so that the order of rows doesn't matter).
     means = F.array(*(F.avg(F.col("_kinds")[i].cast("decimal(28,12)")).cast("double") for i in range(KINDS)))
@@ -202,20 +204,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return Model(prefixes, *(fit(x, np.array([r["_toxic"] for r in seen], float)) if seen else (PRIOR, PRIOR_BIAS)))
 
 
-def sums(docs: DataFrame, prefixes: dict[bytes, float], text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(prefixes)
+def sums(rows: DataFrame, prefixes: dict[bytes, float], text: str) -> DataFrame:
+    """rows with `_kinds` in place of the text."""
+    shared = rows.sparkSession.sparkContext.broadcast(prefixes)
 
     def make(values) -> Iterator[list[tuple]]:
         grammar = Grammar(shared.value)
         for batch in values:
             yield [(grammar.sums(t),) for t in batch]
 
-    return append_columns(docs, F.col(f"`{text}`"), T.StructType([T.StructField("_kinds", T.ArrayType(T.DoubleType()))]), make)
+    return append_columns(rows, F.col(text), T.StructType([T.StructField("_kinds", T.ArrayType(T.DoubleType()))]), make, gone=[text])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from 0.5 on)."""
-    docs = docs.drop("score", "predicted")
+def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """`doc` (the columns `carry` of docs, all by default) with score (0 to 1) and predicted (1 from 0.5 on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(values) -> Iterator[list[tuple]]:
@@ -225,4 +227,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             z = np.clip(np.array([grammar.sums(t) for t in batch]) @ own.weights + own.bias, -30, 30)
             yield [(float(p), int(p >= 0.5)) for p in 1 / (1 + np.exp(-z))]
 
-    return append_columns(docs, F.col(f"`{text}`"), T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]), make)
+    added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return append_columns(pack(docs, carry, own_text=text), F.col("own_text"), added, make, gone=["own_text"])

@@ -13,8 +13,9 @@ identity (64-bit hashes; before a text's first token comes the end), and
 P(token | before) = (c(before, token) + PULL * prior) / (c(before) + PULL).  The counts stay distributed.
 
 Scoring: tokens with at least 1 in FREQUENT of all training tokens (so at most FREQUENT) go to each task; the others are
-joined to the corpus's counts by a 64-bit hash.  So no task needs the whole vocabulary, and no token is hot in the join.
-Pairs are parted the same way.
+joined to the corpus's counts by a 64-bit hash.  So no task needs the whole vocabulary, and no training token is hot in the join
+(one that only held-out texts have can be; its rows match nothing, and adaptive execution splits them).  Pairs are parted the
+same way.
 
 Null and empty texts are the end token alone.  Rows with a null id are trained on.  Repeated rows count each.
 """
@@ -273,7 +274,7 @@ def train(cells: DataFrame, steps: int = STEPS, rate: float = RATE) -> np.ndarra
     weights[0] = np.log([(totals.get(k, 0) + 0.5) / (everything + 0.5 * CLASSES) for k in range(CLASSES)])
     if not everything:
         return weights
-    # The counts are bounded, so a fixed number of tasks can hold them; their gradients are all that comes back.
+    # CONTEXTS**2 * CLASSES counts at most, 4 million, at any size of the corpus: a fixed number of tasks holds them; their gradients are all that comes back.
     cells = cells.coalesce(6)
     for _ in range(steps):
         shared = spark.sparkContext.broadcast(weights)

@@ -11,7 +11,8 @@ pairs across components compared too, so that no link within a bucket is lost, y
 compared pair by pair.
 
 A document without words has no shingles and is linked with nothing; one with fewer words than a shingle is one
-shingle.  Null texts are empty.  Repeated rows are duplicates of each other.  Null ids sort last.
+shingle.  Null texts are empty.  Repeated rows are duplicates of each other.  Null ids sort last.  Columns of the caller
+pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns, cut
+from ledgerline.llm.common import append_columns, cut, discard, pack, scratch, unpack
 from ledgerline.llm.graph import components
 
 ROWS, BANDS = 6, 54
@@ -33,8 +34,10 @@ PLACES = 1 << 21
 STARS = 2
 #: Members of a bucket up to which its pairs are simply listed.
 SMALL = 16
-#: Nodes of a block in the comparison of larger ones.
-BLOCK_NODES = 384
+#: Nodes, and shingles of all of them, of a block in the comparison of larger ones (a lone node may have more).
+BLOCK_NODES, BLOCK_SHINGLES = 384, 4_000_000
+#: Pairs of one hub that are checked together.
+PARTNERS = 256
 #: Shingles whose runs of the table are compared at once.
 BLOCK = 2048
 REMEMBERED = 400_000
@@ -135,7 +138,10 @@ def _sets(of: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    """The pairs (a: the hub, which may be in many of them, b) of nodes whose full sets are similar enough.
+
+    A hub's set goes to a task for each PARTNERS of its pairs, so that no task gets the sets of all its partners.
+    """
     sized = nodes.select("node", "_n")
     fits = (
         pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
@@ -143,7 +149,10 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str,
     )
     pairs = cut(fits, "near-pairs")
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, sketched, text, width)
-    joined = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "near-parts")
+    hubs = sets.toDF("a", "sa").join(parts, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    joined = dealt.join(sets.toDF("b", "sb"), "b").join(hubs, ["a", "part"])
     both = F.size(F.array_intersect("sa", "sb"))
     return joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
@@ -182,9 +191,9 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 def _large(open_: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) across components in buckets of more than SMALL members.
 
-    Buckets that share members form a cluster.  A cluster's nodes are dealt to blocks of about BLOCK_NODES, and each task
-    compares the full sets of two blocks at once; only links come out.  So no pair is listed, no task holds more than two
-    blocks, and no link is lost.
+    Buckets that share members form a cluster.  A cluster's nodes are dealt to blocks of about BLOCK_NODES and BLOCK_SHINGLES,
+    and each task compares the full sets of two blocks at once; one link for each pair of components comes out.  So no pair
+    is listed, no task holds more than two blocks, and no component is left apart that a link joins.
     """
     large = cut(open_.where(F.col("k") > SMALL).select("band", "node", "root"), "near-large")
     if large.isEmpty():
@@ -193,12 +202,13 @@ def _large(open_: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, w
     # Over components, not nodes: a bucket here has at least two of them.
     clusters = cut(components(large.join(hubs, "band").select(F.col("hub").alias("a"), F.col("root").alias("b"))), "near-clusters")
     members = cut(large.select("node", "root").distinct().join(clusters.toDF("root", "cluster"), "root"), "near-clustered")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    sizes = members.join(nodes.select("node", "_n"), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(cut(sizes, "near-sizes"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = _sets(members, nodes, sketched, text, width)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.join(sets, "node").select("cluster", "node", "root", "block", "_set", other)
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "_set")
+
     def compare(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         blocks, values = group.column("block").to_numpy(), group.column("_set").combine_chunks()
@@ -210,22 +220,31 @@ def _large(open_: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, w
         n = [np.array([len(x) for x in s], np.float64) for s in side]
         linked = (100 * both >= percent * (n[0][:, None] + n[1][None, :] - both)) & (root[at[0]][:, None] != root[at[1]][None, :])
         x, y = np.nonzero(linked)
-        a, b = node[at[0]][x], node[at[1]][y]
-        keep = a < b if i == j else slice(None)
-        a, b = a[keep], b[keep]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        roots = np.sort(np.stack([root[at[0]][x], root[at[1]][y]], axis=1), axis=1)
+        first = np.unique(roots, axis=0, return_index=True)[1] if len(x) else []
+        return pa.table({"a": pa.array(node[at[0]][x[first]], pa.int64()), "b": pa.array(node[at[1]][y[first]], pa.int64())})
 
     return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def group(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 2, percent: int = 80) -> DataFrame:
-    """docs with _n (size of the set), _component (least id of the group) and _kept: one row of each group.
+    """`doc` (the row of docs), n (size of the set), component (least id of the group) and kept: one row of each group.
 
     Which row of a group is kept: that of the least id, the first written one if the id repeats.
     """
-    docs = docs.drop("_n", "_component", "_kept")
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # so that no name can clash
-    sketched = cut(sketch(packed, text, width), "near-sketches")
+    with scratch() as own:
+        sketched = own.keep(cut(sketch(pack(docs), text, width), "near-sketches"))
+        heads = own.keep(_heads(sketched, text, key, width, percent))
+    own_id = F.col("doc")[key]
+    done = sketched.drop("_bands").join(heads, "_key", "left")
+    alone = F.col("head").isNull()
+    return done.select(
+        "doc", F.col("_n").alias("n"), F.when(alone, own_id).otherwise(F.col("head.id")).alias("component"), (alone | (F.col("head.row") == F.col("_row"))).alias("kept"),
+    )
+
+
+def _heads(sketched: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
+    """_key and head, the row that stays: of all sets that several rows have or that are linked to others (written)."""
     own_id = F.col("doc")[key]
     classes = sketched.where("_n > 0").groupBy("_key").agg(
         F.min(F.struct(own_id.isNull().alias("no"), own_id.alias("id"), F.col("_row").alias("row"))).alias("first"),
@@ -236,10 +255,11 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 
     buckets = nodes.select("node", F.explode("_bands").alias("band"))
     shared = cut(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    members = cut(buckets.join(shared, "band").select("band", "node", "n"), "near-members")
+    found = cut(buckets.join(shared, "band").select("band", "node", "n"), "near-members")
     # The text that a group of copies comes from shares more buckets with them than they do among themselves.
-    central = cut(members.groupBy("node").agg(F.sum("n").alias("near")), "near-central")
-    members = cut(members.join(central, "node").select("band", "node", F.struct("near", (-F.col("node")).alias("no")).alias("rank")), "near-members")
+    central = cut(found.groupBy("node").agg(F.sum("n").alias("near")), "near-central")
+    members = cut(found.join(central, "node").select("band", "node", F.struct("near", (-F.col("node")).alias("no")).alias("rank")), "near-members")
+    discard(shared, found, central)
 
     links, roots = None, None
     for _ in range(STARS):
@@ -253,21 +273,24 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
         if links is not None:
             outside = cut(open_.where("root <> top.root").groupBy("band").agg(F.max(F.struct("rank", "root")).alias("top")), "near-hubs")
             open_ = rooted.join(outside, "band")
-        stars = open_.select((-F.col("top.rank.no")).alias("a"), F.col("node").alias("b"), "root", F.col("top.root").alias("ra")).where("a <> b and root <> ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(_confirm(stars, nodes, sketched, text, width, percent), "near-links")
+        stars = open_.select((-F.col("top.rank.no")).alias("a"), F.col("node").alias("b"), "root", F.col("top.root").alias("ra")).where("a <> b and root <> ra").select("a", "b").distinct()
+        with scratch() as own:
+            more = own.keep(cut(_confirm(stars, nodes, sketched, text, width, percent), "near-links"))
+        discard(rooted, hubs)
         if more.isEmpty():
             links = more if links is None else links
             continue
         links = more if links is None else links.unionByName(more)
-        roots = cut(components(links), "near-roots")
+        roots = components(links)
 
     # What is left open is compared in full, across components only.
     rooted = cut((members if roots is None else members.join(roots, "node", "left")).select("band", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root")), "near-rooted")
     open_ = cut(_mixed(rooted).join(nodes.select("node", F.col("_n").alias("n")), "node").select("band", "node", "root", "n", "k"), "near-open")
-    few = _confirm(cut(_small(open_, percent), "near-across"), nodes, sketched, text, width, percent)
+    discard(members, rooted)
+    few = cut(_confirm(cut(_small(open_, percent), "near-across"), nodes, sketched, text, width, percent), "near-links")
     more = cut(few.unionByName(_large(open_, nodes, sketched, text, width, percent)), "near-links")
     if not more.isEmpty():
-        roots = cut(components(more if links is None else links.unionByName(more)), "near-roots")
+        roots = components(more if links is None else links.unionByName(more))
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
 
@@ -275,17 +298,10 @@ def group(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     named = nodes.select("_key", "node", "first", "copies").join(roots, "node", "left")
     alone = named.where("root is null and copies > 1").select("_key", F.col("first").alias("head"))
     linked = cut(named.where("root is not null").select("_key", "first", "root"), "near-linked")
-    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
-    heads = linked.join(cut(heads, "near-heads"), "root").select("_key", "head").unionByName(alone)
-    heads = cut(heads, "near-heads")
-    done = sketched.drop("_bands").join(heads, "_key", "left")
-    alone = F.col("head").isNull()
-    return done.select(
-        *(F.col("doc")[c].alias(c) for c in docs.columns), "_n",
-        F.when(alone, own_id).otherwise(F.col("head.id")).alias("_component"), (alone | (F.col("head.row") == F.col("_row"))).alias("_kept"),
-    )
+    heads = cut(linked.groupBy("root").agg(F.min("first").alias("head")), "near-heads")
+    return cut(linked.join(heads, "root").select("_key", "head").unionByName(alone), "near-heads")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with the columns of docs."""
-    return group(docs, text, key, width, percent).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpack(group(docs, text, key, width, percent).where("kept"), docs.columns)

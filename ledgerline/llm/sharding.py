@@ -1,38 +1,48 @@
 """Sharding by fixed virtual slots.
 
 A record's hash gives its slot, for ever.  Bytes are summed by slot, and a slot-to-shard map says where each slot's
-records are; adding or emptying shards edits the map, not the hash.  Maps are stored by version.
+records are; adding or emptying shards edits the map, not the hash.  Maps are stored by version and have a row for
+every slot, in use or not, so that no record is ever without a shard.
 
-The law of a fresh map is `bytes`: slots are placed largest first on the shard that has the fewest bytes.  A null text
-has no bytes; every record counts 8 more.  Records that are equal in all of doc_id and text share a slot, and
-a slot is never parted.  An empty table has no rows; columns of other names pass.
+The law of a fresh map is `bytes`: slots are placed largest first on the shard that has the fewest bytes (each slot counts one
+byte more, so that empty ones spread).  A null text has no bytes; every record counts 8 more.  Records that are equal in all of
+doc_id and text share a slot, and a slot is never parted.  An empty table has no rows, and a map all the same.  Other columns
+than doc_id and text are not needed to place a record, whatever their names; write_shards() writes them all.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import cut, fresh, pack, quoted
 
 SLOTS = 4096
 SHARDS = 24
 OVERHEAD = 8
 
 
+def _crc(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _slot(key: Column, crc: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key, crc), F.lit(slots)).cast("int")
+
+
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot: all that placing needs of a record."""
-    out = docs.select(
-        F.col(key).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    own = quoted(text)
+    out = docs.select(quoted(key).alias("doc_id"), (F.coalesce(F.octet_length(own), F.lit(0)) + OVERHEAD).cast("long").alias("size"), _crc(own).alias("text_crc32"))
+    return out.withColumn("virtual_slot", _slot(F.col("doc_id"), F.col("text_crc32"), slots))
 
 
-def slot_bytes(digests: DataFrame) -> DataFrame:
-    """virtual_slot, bytes and records: a row for each slot in use, at most as many as there are slots."""
-    return digests.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"))
+def slot_bytes(digests: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """virtual_slot, bytes and records: a row for each slot."""
+    used = digests.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"))
+    every = digests.sparkSession.range(0, slots, 1, 1).select(F.col("id").cast("int").alias("virtual_slot"))
+    return every.join(used, "virtual_slot", "left").na.fill(0, ["bytes", "records"])
 
 
 def _lightest(loads: Column) -> Column:
@@ -64,7 +74,7 @@ def build_map(stats: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 
     def place(loads, x):
         to = _lightest(loads)
-        return _add(loads, to, -x["less"]), to
+        return _add(loads, to, 1 - x["less"]), to
 
     start = F.array_repeat(F.lit(0).cast("long"), n_shards)
     return _fold(stats, n_shards, start, place).withColumn("version", F.lit(1))
@@ -73,21 +83,21 @@ def build_map(stats: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 def rebalance(placed: DataFrame, stats: DataFrame, n_shards: int) -> DataFrame:
     """The map's next version for n_shards: new shards only take, old ones only give, down to the mean.
 
-    placed has a row for each slot; slots that came into use since are placed on the lightest shard.
+    placed has a row for each slot.  Shards from n_shards on are emptied: their slots go to the lightest shards.
     """
     known = stats.join(placed.select("virtual_slot", "shard"), "virtual_slot", "left")
-    by = {r["shard"]: r["b"] for r in known.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}  # a row for each shard
+    by = {r["shard"]: r["b"] for r in known.groupBy("shard").agg(F.sum(F.col("bytes") + 1).alias("b")).collect()}  # a row for each shard
     mean = sum(by.values()) / n_shards
-    by.pop(None, None)
-    old = max([-1, *by]) + 1
+    old = max((k for k in by if k is not None), default=-1) + 1
 
     def place(loads, x):
-        own, size = x["shard"], -x["less"]
+        own, size = x["shard"], 1 - x["less"]
         to = _lightest(loads)
-        heavy = (F.element_at(loads, own + 1) - size >= mean - size / 2) & (to >= old) & (F.array_min(loads) + size <= mean + size / 2)
-        goes = F.when(own.isNull(), to).when(heavy, to).otherwise(own)
+        heavy = (F.get(loads, own) - size >= mean - size / 2) & (to >= old) & (F.array_min(loads) + size <= mean + size / 2)
+        homeless = own.isNull() | (own >= n_shards)
+        goes = F.when(homeless, to).when(heavy, to).otherwise(own)
         less = F.transform(loads, lambda v, i: F.when((i == own) & (goes != own), v - size).otherwise(v))
-        return F.transform(less, lambda v, i: F.when((i == goes) & (own.isNull() | (goes != own)), v + size).otherwise(v)), goes
+        return F.transform(less, lambda v, i: F.when((i == goes) & (homeless | (goes != own)), v + size).otherwise(v)), goes
 
     start = F.array(*(F.lit(int(by.get(i, 0))).cast("long") for i in range(n_shards)))
     version = placed.agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
@@ -95,8 +105,22 @@ def rebalance(placed: DataFrame, stats: DataFrame, n_shards: int) -> DataFrame:
 
 
 def store_map(placed: DataFrame, path: str) -> None:
-    """Appends the map under its version; earlier versions stay."""
-    placed.coalesce(1).write.partitionBy("version").mode("append").parquet(path)
+    """Writes the map into path/version=N; earlier versions stay.
+
+    The same map may be stored again (a job that is run once more); another one under a version that exists raises.
+    """
+    version = placed.agg(F.max("version")).first()[0]
+    own = placed.select("virtual_slot", "shard", "bytes")
+    try:
+        have = placed.sparkSession.read.parquet(f"{path}/version={version}").select("virtual_slot", "shard")
+    except AnalysisException:
+        have = None
+    if have is not None:
+        if have.exceptAll(own.select("virtual_slot", "shard")).isEmpty() and have.count() == own.count():
+            return
+        if not have.isEmpty():
+            raise ValueError(f"version {version} is stored already, with other places")
+    own.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -107,32 +131,38 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.where(F.col("version") == version)
 
 
+def _placed(shard: Column) -> Column:
+    return F.when(shard.isNull(), F.raise_error(F.lit("a slot is missing in the map"))).otherwise(shard).cast("int")
+
+
 def assign(digests: DataFrame, placed: DataFrame, stats: DataFrame) -> DataFrame:
     """digests with `shard` and `slot`: the record's place in its shard, counted from 0 without gaps.
 
     Places are counted within virtual slots, on top of what the shard's earlier slots hold, so that no task gets a
-    whole shard.  The map is joined by broadcast: it has at most as many rows as there are slots.
+    whole shard.  The map is joined by broadcast: it has as many rows as there are slots.  A slot that the map lacks raises.
     """
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.select("virtual_slot", "shard").join(F.broadcast(stats.select("virtual_slot", "records")), "virtual_slot")
+    offsets = placed.select("virtual_slot", "shard").join(F.broadcast(stats.select("virtual_slot", "records")), "virtual_slot", "left")
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("records").over(before), F.lit(0))).drop("records")
     own = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed_rows = digests.withColumn("_nth", F.row_number().over(own) - 1).join(F.broadcast(offsets), "virtual_slot")
-    return placed_rows.withColumn("slot", (F.col("_before") + F.col("_nth")).cast("long")).drop("_before", "_nth")
+    rows = digests.withColumn("_nth", F.row_number().over(own) - 1).join(F.broadcast(offsets), "virtual_slot", "left")
+    return rows.select(*digests.columns, _placed(F.col("shard")).alias("shard"), (F.col("_before") + F.col("_nth")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """The records' places and the map that gave them."""
     digests = cut(digest(docs, slots=slots), "sharding-digests")
-    stats = cut(slot_bytes(digests).coalesce(1), "sharding-stats")
+    stats = cut(slot_bytes(digests, slots), "sharding-stats")
     placed = cut(build_map(stats, n_shards), "sharding-map")
     return assign(digests, placed, stats), placed
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, slots: int = SLOTS) -> None:
-    """Writes the records themselves into path/shard=N; slots spread a shard over several tasks."""
-    slot = digest(docs, slots=slots).schema  # fails early if the columns are missing
-    assert "virtual_slot" in slot.names
-    at = F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(slots)).cast("int")
-    rows = docs.withColumn("virtual_slot", at).join(F.broadcast(placed.select("virtual_slot", "shard")), "virtual_slot")
-    rows.repartition("virtual_slot").write.partitionBy("shard").parquet(path)
+    """Writes the records themselves into path/shard=N; slots spread a shard over several tasks.
+
+    Where documents have a column `shard`, the folders' name has underscores before it.
+    """
+    (shard,) = fresh(docs, "shard")
+    packed = pack(docs, _id="doc_id", _text="text").withColumn("_slot", _slot(F.col("_id"), _crc(F.col("_text")), slots))
+    rows = packed.join(F.broadcast(placed.select(F.col("virtual_slot").alias("_slot"), F.col("shard").alias("_shard"))), "_slot", "left").repartition("_slot")
+    rows.select(*(F.col("doc")[c].alias(c) for c in docs.columns), _placed(F.col("_shard")).alias(shard)).write.partitionBy(shard).parquet(path)

@@ -34,8 +34,9 @@ def test_layouts(spark):
         {"question": "u", "answer": "v"},
     ]
     raw = [json.dumps(r) for r in records] + [json.dumps({"other": 1}), "not json", None]
-    df = spark.createDataFrame([(i, t, "L") for i, t in enumerate(raw)], "n int, record string, layout string")
-    got = {r.n: r for r in chat.canonical(df).collect()}
+    df = spark.createDataFrame([(i, t, "L", "T", "D", "P", "O") for i, t in enumerate(raw)], ["n", "record", "layout", "turns", "doc", "print", "own"])
+    got = {r.doc.n: r for r in chat.canonical(df).collect()}
+    assert all((r.doc.layout, r.doc.turns, r.doc.doc, r.doc.print, r.doc.own) == tuple("LTDPO") for r in got.values())
     for i in range(len(records)):
         assert [(t.role, t.text) for t in got[i].turns] == turns, records[i]
     assert all(got[i].turns is None and got[i].layout is None for i in range(len(records), len(raw)))
@@ -61,6 +62,30 @@ def test_query(spark, sf_dir):
 def test_null_text_and_no_rows(spark):
     df = spark.createDataFrame([(1, 0, "user", None), (1, 1, None, "b"), (None, 0, "user", "c")], "conv_id long, turn long, role string, text string")
     records = df.select("conv_id", "turn", F.to_json(F.struct("turn", "role", "text")).alias("record"))
-    got = {r.conv_id: r.turns for r in chat.gather(chat.canonical(records)).collect()}
-    assert [(t.role, t.text) for t in got[1]] == [("user", ""), ("", "b")] and len(got[None]) == 1
+    got = {r.conversation: r for r in chat.gather(chat.canonical(records)).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", ""), ("", "b")] and len(got[None].turns) == 1 and got[1].unmapped == 0
     assert chat.gather(chat.canonical(records.limit(0))).count() == 0
+
+
+def test_unmapped_records_leave_the_others_alone(spark):
+    rows = [(1, 0, '{"role":"user","text":"a"}'), (1, 1, '{"other":1}'), (1, 2, "no json"), (1, 3, None), (1, 4, '{"role":"assistant","text":"b"}'), (2, 0, "x")]
+    got = {r.conversation: r for r in chat.gather(chat.canonical(spark.createDataFrame(rows, "conv_id long, turn long, record string"))).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", "a"), ("assistant", "b")] and got[1].unmapped == 3
+    assert got[2].turns == [] and got[2].unmapped == 1
+
+
+def test_very_long_texts(spark):
+    """A text beyond what one VARIANT, or the JSON reader by default, may hold; and very many turns."""
+    size = 21_000_000
+    df = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.to_json(F.struct(F.lit("user").alias("role"), F.repeat(F.lit("a b\\"), (F.col("id") + size // 4).cast("int")).alias("text"))).alias("record"))
+    many = F.concat(F.lit('{"messages":['), F.repeat(F.lit('{"role":"user","content":"q"}, {"role":"assistant","content":""},'), (F.col("id") + 100_000).cast("int")), F.lit('{"content":"z","role":"user"}]}'))
+    df = df.unionByName(spark.range(1).select(F.lit(2).alias("conv_id"), F.lit(0).alias("turn"), many.alias("record")))
+    rows = chat.gather(chat.canonical(df, carry=["conv_id", "turn"])).select("conversation", "unmapped", F.size("turns").alias("n"), F.length(F.col("turns")[0]["text"]).alias("first")).collect()
+    assert {r.conversation: (r.unmapped, r.n, r["first"]) for r in rows} == {1: (0, 1, size), 2: (0, 200_001, 1)}
+
+
+def test_bare_records(spark):
+    texts = ['{"a":"x\\"y: {","b":[{"c":"1"},{"c":"2"},{"c":[1,"q"]},{"c":"3"}]}', '{"ro\\"le":"u","text":"v"}', '{"text":"\\\\","role":"u"}', '{"role" : "a" , "text":"b"}']
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(chat.bare(F.col("t"))).collect()]
+    assert json.loads(got[0]) == {"a": "", "b": [{"c": ""}, {"c": ""}, {"c": [1, ""]}, {"c": ""}]}
+    assert "role" not in json.loads(got[1]) and json.loads(got[2]) == json.loads(got[3]) == {"role": "", "text": ""}

@@ -28,10 +28,11 @@ def test_counts_on_odd_texts(spark):
     rng = random.Random(3)
     texts = [None, "", " \n ", "a", "a b", "a b c", "a b c a b c", "a a a a a", "x y z\x0bq", "😀 é\n\n a\na\n a\n", "a\nb\na\r\nb"]
     texts += ["".join(rng.choices(["a", "b", "cc", " ", " ", "\n", "\t", "#"], k=400)) for _ in range(25)] + ["w " * 40_000]
-    rows = [(i % 7, t, None if i % 3 else "h", "x", i) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _words string, n long")
-    got = {r.n: r for r in hostrules.judge(df).collect()}
-    assert len(got) == len(texts) and all(r["_words"] == "x" for r in got.values())
+    names = ["words", "lines", "t", "doc", "n_words", "rate", "host", "salt", "hot", "kept", "host_failed", "base_failed"]
+    rows = [(i, t, None if i % 3 else "h", *names) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = {r.doc.doc_id: r for r in hostrules.judge(df).collect()}
+    assert len(got) == len(texts) and all([r.doc[n] for n in names] == names for r in got.values())
     for i, t in enumerate(texts):
         same(got[i], t)
     assert hostrules.judge(df.limit(0)).count() == 0
@@ -42,12 +43,20 @@ def test_a_bad_host_loses_its_documents(spark):
     rows = [(i, good if i % 10 == 0 else "short", "bad") for i in range(200)]
     rows += [(1000 + i, good if i % 10 else "short", f"host{i % 7}") for i in range(400)]
     got = hostrules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert not any(r.kept for r in got if r.source == "bad") and all(r.host_failed == (r.source == "bad") for r in got)
-    assert all(r.kept == (r.n_words >= 50) for r in got if r.source != "bad")
-    rates = {r.source: r.rate for r in got}
+    assert not any(r.kept for r in got if r.doc.source == "bad") and all(r.host_failed == (r.doc.source == "bad") for r in got)
+    assert all(r.kept == (r.n_words >= 50) for r in got if r.doc.source != "bad")
+    rates = {r.doc.source: r.rate for r in got}
     assert 0.7 < rates["bad"] < 0.9 and all(0.05 < v < 0.3 for k, v in rates.items() if k != "bad")
 
 
+def test_a_host_of_few_documents_is_not_sure_to_be_bad(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, "short", "small") for i in range(2)] + [(100 + i, good if i % 10 else "short", f"host{i % 41}") for i in range(800)]
+    rows += [(2000 + i, good if i % 4 == 0 else "short", "large") for i in range(120)]
+    got = hostrules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=["source"]).collect()
+    assert {r.doc.source for r in got if r.host_failed} == {"large"}
+
+
 def test_query_and_labels(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in QUERIES["op8_host_rules"](spark, sf_dir).collect()}

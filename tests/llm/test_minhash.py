@@ -61,12 +61,15 @@ def corpus():
 
 def test_against_all_pairs(spark):
     rows = corpus()
-    df = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, _key string, head string")
+    own = ["_key", "head", "n", "component", "kept", "doc", "_n", "_row"]
+    df = spark.createDataFrame([(k, t, *own) for k, t in rows], ["doc_id", "text", *own])
     for width in (2, 5):
-        got = {r.doc_id: r for r in minhash.group(df, width=width).collect()}
+        got = {r.doc.doc_id: r for r in minhash.group(df, width=width).collect()}
         assert len(got) == len(rows)
         for (k, _), (n, least) in zip(rows, brute(rows, width), strict=True):
-            assert (got[k]["_n"], got[k]["_component"], got[k]["_kept"], got[k]["head"]) == (n, least, k == least, "y")
+            assert (got[k].n, got[k].component, got[k].kept, [got[k].doc[c] for c in own]) == (n, least, k == least, own)
+    kept = minhash.deduplicate(df)
+    assert kept.columns == df.columns and all(r[c] == c for r in kept.collect() for c in own)
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -119,5 +122,8 @@ def test_blocks_find_what_single_comparisons_find(spark, monkeypatch):
         for _ in range(i % 7):
             copy[say_.randrange(60)] = f"q{i % 3}{say_.randrange(9)}"
         rows.append((i, " ".join(copy)))
-    got = minhash.group(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
-    assert {r.doc_id: r["_component"] for r in got} == {k: least for (k, _), (_, least) in zip(rows, brute(rows, 2), strict=True)}
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), {k: least for (k, _), (_, least) in zip(rows, brute(rows, 2), strict=True)}
+    assert {r.doc.doc_id: r.component for r in minhash.group(df, width=2).collect()} == want
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 90)
+    monkeypatch.setattr(minhash, "PARTNERS", 2)
+    assert {r.doc.doc_id: r.component for r in minhash.group(df, width=2).collect()} == want

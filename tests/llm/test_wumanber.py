@@ -35,14 +35,29 @@ def test_against_brute_force(spark):
     items = [(i, say(n)) for i, n in enumerate([1, 2, 3, 9, 10, 11, 14, 10])] + [(90, ""), (91, None), (7, say(12)), (92, "...")]
     texts = [None, "", "...", *(say(rng.randint(0, 200)) for _ in range(30))]
     texts += [f"q {items[4][1]} w {items[5][1]}, {items[4][1]}", items[6][1].upper(), "qq " * 50_000 + items[4][1]]
-    docs = spark.createDataFrame([(i % 5, t, [1], i) for i, t in enumerate(texts)], "doc_id long, text string, hits array<int>, n int").drop("hits")
+    names = ["n_words", "hits", "items", "n_hit", "n_items", "contaminated", "doc", "own_text", "_arg"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in enumerate(texts)], ["doc_id", "text", *names])
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block_words in (wumanber.BLOCK_WORDS, 3):
-        got = {r.n: r for r in wumanber.flag(wumanber.find_passages(docs, bench, block_words=block_words)).collect()}
+        got = {r.doc.doc_id: r for r in wumanber.flag(wumanber.find_passages(docs, bench, block_words=block_words)).collect()}
         assert len(got) == len(texts)
         for i, t in enumerate(texts):
             n, hit, found = brute(t, items)
             assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].n_items, got[i].contaminated) == (n, hit, found, len(found), hit > 0)
+    kept = wumanber.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and all(r[n] == n for r in kept.collect() for n in names)
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute(t, items)[1]}
+
+
+def test_long_items_go_in_pieces(spark):
+    rng = random.Random(7)
+    item = " ".join(f"w{rng.randrange(40)}" for _ in range(500)) + " a b" * 60
+    own = item.split()
+    texts = [" ".join(own[at : at + 10]) for at in range(0, len(own) - 9, 7)] + [" ".join(own[5:14]), " ".join(reversed(own))]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(4, item)], "item_id long, text string")
+    for block_words in (wumanber.BLOCK_WORDS, 64):
+        got = wumanber.flag(wumanber.find_passages(docs, bench, block_words=block_words)).collect()
+        assert {r.doc.doc_id: (r.n_hit, r["items"]) for r in got} == {i: brute(t, [(4, item)])[1:] for i, t in enumerate(texts)}
 
 
 def test_no_benchmark_and_no_documents(spark):
