@@ -1,7 +1,8 @@
 """A corpus pipeline: quality, near-duplicates, benchmark passages, personal data, byte-level BPE.
 
 Each stage gets (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next.
-Stages but the last keep the columns of documents.  The last adds the ids and the bytes decoded from them.
+Stages but the last keep the columns of documents.  The last adds n_tokens, ids and the bytes decoded from them (with
+underscores before the name where documents have such a column).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, dsir, minhash, pii, wumanber
-from ledgerline.llm.common import cut, table
+from ledgerline.llm.common import cut, discard, fresh, pack, scratch, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind; n_chars follows the text."""
-    done = pii.redact(pii.detect(docs))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    done = pii.redact(pii.detect(docs), docs.columns)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    done = bpe.decode(bpe.encode(pack(docs, text="text"), vocabulary).drop("text"), vocabulary)
+    made = ("n_tokens", "ids", "decoded")
+    return done.select(*(F.col("doc")[c].alias(c) for c in docs.columns), *(F.col(c).alias(n) for c, n in zip(made, fresh(docs, *made), strict=True)))
 
 
 STAGES = [
@@ -55,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage leaves in the shared folder goes when the next one's input is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        with scratch() as own:
+            done = own.keep(cut(stage(spark, docs, sf_dir), name.replace(" ", "-").lower()))
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
