@@ -31,7 +31,7 @@ def test_stages_keep_the_columns(steps):
 def test_quality(spark, sf_dir, steps):
     before, after, _ = steps[0]
     want = dsir.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=["doc_id"])
-    assert {r.doc_id for r in after} == {r.doc_id for r in want.where("_kept").collect()} and 0 < len(after) < len(before)
+    assert {r.doc_id for r in after} == {r.doc.doc_id for r in want.where("kept").collect()} and 0 < len(after) < len(before)
 
 
 def test_near_duplicates(steps):
@@ -60,6 +60,18 @@ def test_ids(steps):
         assert list(struct.unpack(f"<{r.n_tokens}I", r.ids)) == ids(r.text) and bytes(r.decoded).decode() == r.text
 
 
+def test_columns_of_the_caller_pass_every_stage(spark, sf_dir, tmp_path):
+    names = ["doc", "text2", "own_id", "own_text", "weight", "gumbel_key", "kept", "n", "component", "n_words", "hits", "items", "contaminated", "spans", "_spans", "_text", "ids", "n_tokens", "decoded", "_arg"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names)).where("doc_id < 60")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        back = spark.read.parquet(str(tmp_path / str(k)))
+        assert back.columns[: len(docs.columns)] == docs.columns
+        assert all(r[n] == f"{n}:{r.doc_id}" for r in back.collect() for n in names)
+        docs = back
+    assert {"_n_tokens", "_ids", "_decoded"} < set(docs.columns)
+
+
 def test_run(spark, sf_dir, steps):
     got = corpus_pipeline.run(spark, sf_dir)
     assert {(r.doc_id, r.n_tokens) for r in got.select("doc_id", "n_tokens").collect()} == {(r.doc_id, r.n_tokens) for r in steps[4][1]}
