@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,18 +14,22 @@ _BLANKS = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS, NWS = f"[{_BLANKS}]", f"[^{_BLANKS}"
 #: An ASCII word boundary before and after a word character.
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-# The names that count as secrets, and the forms of their values.
-NAMES = r"(?:api[_-]?key|access[_-]?token|refresh[_-]?token|id[_-]?token|auth(?:orization)?|secret|password|credential|storageKey|storage_key)"
+# The names that count as secrets, the forms of their values, and the rules, which apply in this order.
+SECRET_NAMES = ("api[_-]?key", "access[_-]?token", "refresh[_-]?token", "id[_-]?token", "auth(?:orization)?", "secret", "password", "credential", "storageKey", "storage_key")
+_NAMES = "|".join(SECRET_NAMES)
 VALUE = r"""("[^"\r\n]*"|'[^'\r\n]*'|%s,;}]+)""" % NWS
 RULES = (
     (rf"(?i){B}(authorization|proxy-authorization|x-api-key){WS}*[:=]{WS}*(?:Bearer{WS}+{NWS},;]+|{NWS},;]+)", f"$1: {REDACTED}"),
     (rf"(?i){B}(cookie|set-cookie){WS}*[:=]{WS}*[^\r\n]+", f"$1: {REDACTED}"),
     (rf"(?i){B}Bearer{WS}+[A-Za-z0-9._~+/=-]+", f"Bearer {REDACTED}"),
+    # The end is a boundary of either side, as the last character may be a hyphen, which is no word character.
     (rf"{B}sk-[A-Za-z0-9][A-Za-z0-9_-]{{6,}}(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))", REDACTED_KEY),
-    (rf"""(?i)(["']?{NAMES}["']?{WS}*:{WS}*){VALUE}""", f'$1"{REDACTED}"'),
-    (rf"(?i){B}({NAMES[3:-1]}){E}{WS}*[:=]{WS}*{VALUE}", f"$1={REDACTED}"),
+    (rf"""(?i)(["']?(?:{_NAMES})["']?{WS}*:{WS}*){VALUE}""", f'$1"{REDACTED}"'),
+    (rf"(?i){B}({_NAMES}){E}{WS}*[:=]{WS}*{VALUE}", f"$1={REDACTED}"),
     (rf"""(?i){B}([A-Z_][A-Z0-9_]*(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|AUTHORIZATION|COOKIE)[A-Z0-9_]*){WS}*={WS}*("[^"\r\n]*"|'[^'\r\n]*'|{NWS}]+)""", f"$1={REDACTED}"),
 )
+#: Every rule needs one of these (in lower case): a text without them is not scanned by any.
+SIGNS = ("key", "auth", "token", "secret", "password", "credential", "cookie", "bearer", "sk-")
 
 
 def utf16_length(text: Column) -> Column:
@@ -66,16 +71,19 @@ def redact(text: Column, secret_patterns: list[str] | None = None) -> Column:
     """Own patterns first (any letter case), then the built-in rules in their order."""
     for p in usable_patterns(secret_patterns or []):
         text = F.regexp_replace(text, f"(?i){p}", REDACTED)
+    done, low = text, F.lower(text)
     for pattern, to in RULES:
-        text = F.regexp_replace(text, pattern, to)
-    return text
+        done = F.regexp_replace(done, pattern, to)
+    return F.when(reduce(Column.__or__, (low.contains(x) for x in SIGNS)), done).otherwise(text)
 
 
 def truncate(text: Column, most: int) -> Column:
-    """At most `most` UTF-16 units, the last of a cut text an ellipsis.  A surrogate pair is never split."""
+    """At most `most` UTF-16 units, the last of a cut text an ellipsis.  A surrogate pair is never split: it goes whole."""
     if most <= 0:
         return F.when(text.isNotNull(), F.lit(""))
-    cut = F.left(text, F.lit(most - 1))
+    units = F.substring(F.encode(F.left(text, F.lit(most - 1)), "UTF-16BE"), 1, 2 * (most - 1))
+    half = F.hex(F.substring(units, -2, 2)).between("D800", "DBFF")
+    cut = F.decode(F.when(half, F.substring(units, 1, 2 * (most - 2))).otherwise(units), "UTF-16BE")
     return F.when(utf16_length(text) <= most, text).otherwise(F.concat(cut, F.lit("…")))
 
 

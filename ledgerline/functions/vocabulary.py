@@ -22,6 +22,24 @@ EVENT_KINDS = (
     "mcp_request", "mcp_result", "retrieval_request", "retrieval_result", "context_provider_request",
     "context_provider_result", "context_assembled", "error", "retry", "cancelled",
 )
+SPAN_KINDS = ("model", "tool", "mcp", "retrieval", "context_provider", "context_assembly")
+ARTIFACT_KINDS = (
+    "message", "file", "document", "fragment", "tool_result", "mcp_response", "retrieval_result", "context_provider_result", "repository_content", "manual",
+)
+FIDELITIES = ("structurally_faithful", "byte_faithful")
+#: The object that a kind's payload must have, and the code if it hasn't.
+PAYLOADS = (
+    ("model_request", "requestEnvelope", "model_request_missing_envelope"), ("model_response", "responseEnvelope", "model_response_missing_envelope"),
+    ("model_response_chunk", "responseEnvelope", "model_response_missing_envelope"), ("model_usage", "usage", "usage_missing"), ("tool_result", "toolResult", "tool_result_invalid"),
+    ("mcp_request", "mcp", "mcp_request_invalid"), ("mcp_result", "mcpResult", "mcp_result_invalid"), ("retrieval_request", "retrieval", "retrieval_request_invalid"),
+    ("retrieval_result", "retrievalResult", "retrieval_result_invalid"), ("context_provider_request", "contextProvider", "context_provider_invalid"),
+    ("context_provider_result", "contextProvider", "context_provider_invalid"), ("cancelled", "cancellation", "cancellation_missing"), ("error", "error", "error_payload_missing"), ("retry", "retry", "retry_missing"),
+)
+#: Formats: content hash, media type, semantic version, time stamp.
+HASH = r"^sha256:[0-9a-f]{64}$"
+MEDIA_TYPE = r"^[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]{0,126}/[A-Za-z0-9][A-Za-z0-9!#$&^_.+-]{0,126}$"
+SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(-[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?(\+[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?$"
+TIMESTAMP = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\.[0-9]{3}Z$"
 KIND_TO_EVENT = {
     "model_request": "provider_request", "model_response": "provider_response", "model_response_chunk": "provider_response",
     "model_usage": "inference", "tool_call": "tool_call", "tool_result": "tool_result", "context_assembled": "context", "error": "provider_error",

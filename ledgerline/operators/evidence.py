@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import losses
 from ledgerline.functions.text import choose
-from ledgerline.functions.vocabulary import ACTORS, CONTROL_KINDS, EVENT_KINDS, KIND_TO_EVENT, ROLE_TO_PHASE, ROLES, STATUSES, SURFACES, TARGETS
+from ledgerline.functions.vocabulary import (
+    ACTORS, CONTROL_KINDS, EVENT_KINDS, FIDELITIES, HASH, KIND_TO_EVENT, MEDIA_TYPE, PAYLOADS, ROLE_TO_PHASE, ROLES, SEMVER, STATUSES, SURFACES, TARGETS, TIMESTAMP,
+)
 
-TIMESTAMP = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{3}Z$"
 REQUEST_KIND = r"_(request|call)$"
 #: Codes of a rejected record, by the bucket that a projection reports.
 ISSUE_BUCKETS = {"unsupported_evidence_schema_version": "unsupported_schema_version"} | dict.fromkeys(
@@ -25,8 +26,11 @@ ISSUE_BUCKETS = {"unsupported_evidence_schema_version": "unsupported_schema_vers
 
 
 def positions(observations: DataFrame) -> DataFrame:
-    """trace_id, event_id, seq: n observations, their ids (by UTF-8 bytes), whether their contents conflict, one payload."""
-    return observations.groupBy("trace_id", "event_id", "seq").agg(
+    """trace_id, event_id, seq: n observations, their ids (by UTF-8 bytes), whether their contents conflict, one payload.
+
+    Observations are dealt out by trace once; everything below needs no other exchange.
+    """
+    return observations.repartition("trace_id").groupBy("trace_id", "event_id", "seq").agg(
         F.count("*").alias("n"), F.array_sort(F.collect_list("observation_id")).alias("observation_ids"),
         (F.min("payload") != F.max("payload")).alias("conflict"), F.min("payload").alias("payload"),
     )
@@ -37,6 +41,16 @@ def conflicts(at: DataFrame) -> DataFrame:
     return at.where("conflict").select("trace_id", "event_id", "seq", F.lit("same_id_same_seq_content_conflict").alias("code"))
 
 
+def ranked(at: DataFrame) -> DataFrame:
+    """at with `retained` (an event's lowest position stays, its others are discarded) and `retained_seq`."""
+    event = Window.partitionBy("trace_id", "event_id")
+    return at.withColumn("retained_seq", F.min("seq").over(event)).withColumn("retained", F.col("seq") == F.col("retained_seq"))
+
+
+def retained(at: DataFrame) -> DataFrame:
+    return ranked(at).where("retained")
+
+
 def collisions(at: DataFrame) -> DataFrame:
     """Places in a trace that different retained events claim."""
     grouped = retained(at).groupBy("trace_id", "seq").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("event_id")).alias("event_ids"))
@@ -44,19 +58,11 @@ def collisions(at: DataFrame) -> DataFrame:
 
 
 def accepted(at: DataFrame) -> DataFrame:
-    """The positions of traces without conflicts and collisions."""
-    bad = conflicts(at).select("trace_id").unionByName(collisions(at).select("trace_id")).distinct()
-    return at.join(bad, "trace_id", "left_anti")
-
-
-def ranked(at: DataFrame) -> DataFrame:
-    """at with `retained`: an event's lowest position stays, its others are discarded."""
-    first = F.row_number().over(Window.partitionBy("trace_id", "event_id").orderBy("seq"))
-    return at.withColumn("retained", first == 1)
-
-
-def retained(at: DataFrame) -> DataFrame:
-    return ranked(at).where("retained")
+    """The positions of traces without conflicts and collisions, as ranked() gives them."""
+    here, trace = Window.partitionBy("trace_id", "seq"), Window.partitionBy("trace_id")
+    claims = ranked(at).withColumn("_claims", F.sum(F.col("retained").cast("int")).over(here))
+    bad = claims.withColumn("_bad", F.max(F.col("conflict") | (F.col("_claims") > 1)).over(trace))
+    return bad.where("not _bad").drop("_claims", "_bad")
 
 
 def exact_replays(at: DataFrame) -> DataFrame:
@@ -65,30 +71,33 @@ def exact_replays(at: DataFrame) -> DataFrame:
 
 def moved_duplicates(at: DataFrame) -> DataFrame:
     """Discarded positions with the one that was kept, and whether another event is retained at the place."""
-    rows = ranked(at)
-    kept = rows.where("retained").select("trace_id", F.col("event_id"), F.col("seq").alias("retained_seq"))
-    taken = rows.where("retained").select("trace_id", "seq").distinct().withColumn("taken", F.lit(True))
-    gone = rows.where("not retained").select("trace_id", "event_id", "seq", "observation_ids")
-    joined = gone.join(kept, ["trace_id", "event_id"]).join(taken, ["trace_id", "seq"], "left")
-    return joined.select("trace_id", "event_id", "retained_seq", "seq", "observation_ids", F.coalesce("taken", F.lit(False)).alias("independently_represented"))
+    taken = F.max("retained").over(Window.partitionBy("trace_id", "seq"))
+    return ranked(at).withColumn("independently_represented", taken).where("not retained").select("trace_id", "event_id", "retained_seq", "seq", "observation_ids", "independently_represented")
 
 
-def gaps(at: DataFrame) -> DataFrame:
-    """trace_id, start_seq, end_seq (exclusive), previous_seq and next_seq: places without a retained event.
+def _open_places(at: DataFrame) -> DataFrame:
+    """ranked() with `_gap`: the first place of the gap that ends before this retained place, or that this discarded one opens.
 
     Between retained events a gap is all that lies between them.  Beyond the last one only discarded positions are
     known, and runs of them are gaps.  The two kinds never touch.
     """
-    rows = ranked(at).select("trace_id", "seq", "retained")
-    kept = rows.where("retained").select("trace_id", "seq").distinct()
-    before = F.lag("seq").over(Window.partitionBy("trace_id").orderBy("seq"))
-    inner = kept.withColumn("p", before).where("seq > coalesce(p, -1) + 1")
-    inner = inner.select("trace_id", (F.coalesce("p", F.lit(-1)) + 1).alias("start_seq"), F.col("seq").alias("end_seq"), F.col("p").alias("previous_seq"), F.col("seq").alias("next_seq"))
-    last = kept.groupBy("trace_id").agg(F.max("seq").alias("last"))
-    tail = rows.where("not retained").select("trace_id", "seq").distinct().join(last, "trace_id").where("seq > last")
-    island = F.col("seq") - F.row_number().over(Window.partitionBy("trace_id").orderBy("seq"))
-    runs = tail.withColumn("island", island).groupBy("trace_id", "island").agg(F.min("seq").alias("start_seq"), (F.max("seq") + 1).alias("end_seq"), F.max("last").alias("previous_seq"))
-    return inner.unionByName(runs.select("trace_id", "start_seq", "end_seq", "previous_seq", F.lit(None).cast("long").alias("next_seq")))
+    trace = Window.partitionBy("trace_id")
+    rows = ranked(at).withColumn("_last", F.max(F.when(F.col("retained"), F.col("seq"))).over(trace))
+    rows = rows.withColumn("_tail", ~F.col("retained") & (F.col("seq") > F.col("_last")))
+    # Of several rows at one place the first counts; retained ones, tail ones and others are parted.
+    order = Window.partitionBy("trace_id", "retained", "_tail").orderBy("seq", "event_id")
+    before = F.lag("seq").over(order)
+    return rows.withColumn("_before", before).withColumn(
+        "_gap", F.when(F.col("retained") & (F.col("seq") > F.coalesce("_before", F.lit(-1)) + 1), F.coalesce("_before", F.lit(-1)) + 1).when(F.col("_tail") & (F.coalesce("_before", F.lit(-2)) < F.col("seq") - 1), F.col("seq")))
+
+
+def gaps(at: DataFrame) -> DataFrame:
+    """trace_id, start_seq, end_seq (exclusive), previous_seq and next_seq: places without a retained event."""
+    rows = _open_places(at)
+    inner = rows.where("retained and _gap is not null").select("trace_id", F.col("_gap").alias("start_seq"), F.col("seq").alias("end_seq"), F.col("_before").alias("previous_seq"), F.col("seq").alias("next_seq"))
+    run = F.last("_gap", ignorenulls=True).over(Window.partitionBy("trace_id").orderBy("seq", "event_id"))
+    tail = rows.where("_tail").withColumn("start_seq", run).groupBy("trace_id", "start_seq").agg((F.max("seq") + 1).alias("end_seq"), F.max("_last").alias("previous_seq"))
+    return inner.unionByName(tail.select("trace_id", "start_seq", "end_seq", "previous_seq", F.lit(None).cast("long").alias("next_seq")))
 
 
 def _terminal(target: str) -> Column:
@@ -154,8 +163,10 @@ def observation_issues(observations: DataFrame) -> DataFrame:
     stamp = lambda c: ~F.coalesce(F.col(c).rlike(TIMESTAMP) & (F.date_format(F.try_to_timestamp(F.substring(c, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")), "yyyy-MM-dd") == F.substring(c, 1, 10)), F.lit(False))
     role = F.col("role")
     checks = [
-        (ident("observation_id"), "observation_id_invalid"), (ident("event_id"), "event_id_invalid"), (ident("trace_id"), "trace_id_invalid"), (F.col("seq").isNull() | (F.col("seq") < 0), "seq_invalid"),
+        (ident("observation_id"), "observation_id_invalid"), (ident("event_id"), "event_id_invalid"), (ident("trace_id"), "trace_id_invalid"),
+        (F.col("span_id").isNotNull() & ident("span_id") if "span_id" in observations.columns else F.lit(False), "span_id_invalid"), (F.col("seq").isNull() | (F.col("seq") < 0), "seq_invalid"),
         (~known, "unknown_event_kind"), (known & stamp("captured_at"), "captured_at_invalid"), (known & ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "invalid_evidence_status"),
+        (known & stamp("raw_captured_at") if "raw_captured_at" in observations.columns else F.lit(False), "raw_captured_at_invalid"),
         (known & control & role.isNotNull(), "control_event_has_role"), (known & ~control & role.isNull(), "missing_observation_role"),
         (known & ~control & role.isNotNull() & ~role.isin(*ROLES), "invalid_observation_role"), (known & ~control & (role == "unobservable") & (F.coalesce("status", F.lit("")) != "unknown"), "unobservable_requires_unknown"),
         (known & ~control & F.col("payload").isNull(), "payload_not_object"),
@@ -172,14 +183,14 @@ def duplicate_ids(observations: DataFrame, order: str) -> DataFrame:
 
 def envelope_issues(kind: Column, status: Column, fidelity: Column, hash_: Column, encoding: Column, content_type: Column, model: Column, provider: Column) -> Column:
     """Codes of a request's or response's envelope (kind: request or response)."""
-    faithful, bytes_ = fidelity.isin("structurally_faithful", "byte_faithful"), fidelity == "byte_faithful"
+    faithful, bytes_ = fidelity.isin(*FIDELITIES), fidelity == "byte_faithful"
     captured, has = status == "captured", hash_.isNotNull()
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     stops = ~F.coalesce(faithful, F.lit(False))
     early = stops | (bytes_ & ~captured)
     checks = [
-        (stops, "envelope_invalid_fidelity"), (~stops & has & ~hash_.rlike("^sha256:[0-9a-f]{64}$"), "native_content_hash_invalid"), (~stops & bytes_ & ~captured, "byte_faithful_without_captured"),
-        (~early & bytes_ & (encoding.isNull() | ~F.coalesce(content_type.rlike(r"^[A-Za-z0-9!#$&^_.+-]+/[A-Za-z0-9!#$&^_.+-]+(\s*;.*)?$"), F.lit(False))), "byte_faithful_requires_native_fields"),
+        (stops, "envelope_invalid_fidelity"), (~stops & has & ~hash_.rlike(HASH), "native_content_hash_invalid"), (~stops & bytes_ & ~captured, "byte_faithful_without_captured"),
+        (~early & bytes_ & (encoding.isNull() | ~F.coalesce(content_type.rlike(MEDIA_TYPE), F.lit(False))), "byte_faithful_requires_native_fields"),
         (~early & bytes_ & ~has, "byte_faithful_requires_native_hash"), (~early & ~bytes_ & has & ~captured, "native_hash_without_captured"),
         (~early & (kind == "request") & empty(model), "request_envelope_missing_model"), (~early & (kind == "request") & empty(provider), "request_envelope_missing_provider"),
     ]
@@ -208,14 +219,7 @@ def kind_issues(observations: DataFrame) -> DataFrame:
     """trace_id, observation_id, code: what each kind requires of its payload (JSON text), and of its span by the lifecycle target."""
     kind, span, p = F.col("kind"), F.col("span_id"), F.col("_p")
     lacks = lambda name: ~_is(p, f"$.{name}", "OBJECT")
-    required = [
-        ("model_request", "requestEnvelope", "model_request_missing_envelope"), ("model_response", "responseEnvelope", "model_response_missing_envelope"),
-        ("model_response_chunk", "responseEnvelope", "model_response_missing_envelope"), ("model_usage", "usage", "usage_missing"), ("tool_result", "toolResult", "tool_result_invalid"),
-        ("mcp_request", "mcp", "mcp_request_invalid"), ("mcp_result", "mcpResult", "mcp_result_invalid"), ("retrieval_request", "retrieval", "retrieval_request_invalid"),
-        ("retrieval_result", "retrievalResult", "retrieval_result_invalid"), ("context_provider_request", "contextProvider", "context_provider_invalid"),
-        ("context_provider_result", "contextProvider", "context_provider_invalid"), ("cancelled", "cancellation", "cancellation_missing"), ("error", "error", "error_payload_missing"), ("retry", "retry", "retry_missing"),
-    ]
-    checks = [((kind == k) & lacks(name), code) for k, name, code in required]
+    checks = [((kind == k) & lacks(name), code) for k, name, code in PAYLOADS]
     target, effect = F.coalesce(_string(p, "$.lifecycleTarget"), F.lit("")), F.coalesce(_string(p, "$.lifecycleEffect"), F.lit(""))
     ends, retry = kind.isin("error", "cancelled"), (kind == "retry") & ~lacks("retry")
     checks += [
@@ -277,63 +281,82 @@ def first_stage(issues: DataFrame) -> DataFrame:
 
 def schema_gate(version: Column) -> Column:
     """True for a semantic version of major 1."""
-    return F.coalesce(version.rlike(r"^1\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?$"), F.lit(False))
+    return F.coalesce(version.rlike(SEMVER) & version.startswith("1."), F.lit(False))
 
 
-def completeness(events: DataFrame, gap_rows: DataFrame, replays: DataFrame, moved: DataFrame) -> DataFrame:
-    """trace_id, events, by_status (vocabulary order, only what occurs), gap_count, duplicates (labels)."""
-    by = events.groupBy("trace_id").agg(F.count("*").alias("events"), *(F.sum((F.col("status") == s).cast("long")).alias(f"s_{s}") for s in STATUSES))
+def completeness(at: DataFrame, status: Column) -> DataFrame:
+    """trace_id, events, by_status (vocabulary order, only what occurs), gap_count, duplicates (labels), from the positions of accepted traces.
+
+    status: of an event, by its columns.  One pass over the positions of each trace.
+    """
+    kept = F.col("retained")
+    rows = _open_places(at).withColumn("_status", status)
+    place = lambda text: F.concat(F.lit(text), "event_id", F.lit("@"), F.col("retained_seq" if "different" in text else "seq").cast("string"))
+    # An event that was seen at several other places is one duplicate: its first discarded position tells.
+    moved = F.row_number().over(Window.partitionBy("trace_id", "event_id", "retained").orderBy("seq")) == 1
+    rows = rows.withColumn("_moved", moved & ~kept)
+    label = lambda when, at_, text: F.when(when, F.struct(F.col(at_).alias("seq"), "event_id", place(text).alias("label")))
+    by = rows.groupBy("trace_id").agg(
+        F.sum(kept.cast("long")).alias("events"), F.count("_gap").alias("gap_count"), *(F.sum((kept & (F.col("_status") == s)).cast("long")).alias(f"s_{s}") for s in STATUSES),
+        F.collect_list(label((F.col("n") > 1) & ~F.col("conflict"), "seq", "exact_replay:")).alias("replays"), F.collect_list(label(F.col("_moved"), "retained_seq", "same_id_different_seq:")).alias("moves"),
+    )
     text = F.concat_ws(",", *(F.when(F.col(f"s_{s}") > 0, F.concat(F.lit(f"{s}="), F.col(f"s_{s}").cast("string"))) for s in STATUSES))
-    labels = replays.select("trace_id", "seq", "event_id", F.concat(F.lit("exact_replay:"), "event_id", F.lit("@"), F.col("seq").cast("string")).alias("label")).unionByName(
-        moved.select("trace_id", F.col("retained_seq").alias("seq"), "event_id", F.concat(F.lit("same_id_different_seq:"), "event_id", F.lit("@"), F.col("retained_seq").cast("string")).alias("label")).distinct())
-    labels = labels.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "event_id", "label"))), lambda x: x["label"]), ",").alias("duplicates"))
-    counted = gap_rows.groupBy("trace_id").agg(F.count("*").alias("gap_count"))
-    joined = by.join(counted, "trace_id", "left").join(labels, "trace_id", "left")
-    return joined.select("trace_id", "events", text.alias("by_status"), F.coalesce("gap_count", F.lit(0)).alias("gap_count"), F.coalesce("duplicates", F.lit("")).alias("duplicates"))
+    labels = F.array_join(F.transform(F.array_sort(F.concat("replays", "moves")), lambda x: x["label"]), ",")
+    return by.select("trace_id", "events", text.alias("by_status"), "gap_count", labels.alias("duplicates"))
+
+
+def boundary_statement(boundary: Column, events: Column) -> Column:
+    """What a capture boundary (JSON text) declares, as one line."""
+    v = F.try_parse_json(boundary)
+    listed = lambda path: F.concat(F.lit("["), F.array_join(F.coalesce(F.try_variant_get(v, path, "array<string>"), F.array().cast("array<string>")), ","), F.lit("]"))
+    field = lambda path: F.try_variant_get(v, path, "string")
+    by = F.when(_is(v, "$.missingRecord.reportedBy", "OBJECT"), F.concat(F.lit(" reportedBy="), field("$.missingRecord.reportedBy.captureSurface"), F.lit("/"), field("$.missingRecord.reportedBy.observationBoundary"))).otherwise("")
+    missing = F.when(_is(v, "$.missingRecord", "OBJECT"), F.concat(field("$.missingRecord.reason"), by)).otherwise("none")
+    parts = (("boundary(captureSurface=", field("$.captureSurface")), ("; observationBoundary=", field("$.observationBoundary")), ("; declaredEventKinds=", listed("$.declaredEventKinds")),
+             ("; declaredSurfaces=", listed("$.declaredSurfaces")), ("; missing=", missing), ("; events=", events.cast("string")))
+    return F.concat(*(x for name, value in parts for x in (F.lit(name), value)), F.lit(")"))
 
 
 def project_kinds(events: DataFrame) -> DataFrame:
     """events with the trace event type and phase they become; outcome `unavailable` if the kind has none."""
     type_ = choose(F.col("kind"), KIND_TO_EVENT)
     return events.withColumns({
-        "event_type": type_.cast("string"), "content_phase": F.when(type_.isNotNull(), choose(F.col("role"), ROLE_TO_PHASE)).cast("string"), "outcome": F.when(type_.isNull(), "unavailable").otherwise("exact"),
+        "event_type": type_.cast("string"), "content_phase": F.when(type_.isNotNull(), choose(F.col("role"), ROLE_TO_PHASE)).cast("string"), "outcome": F.when(type_.isNull(), "unavailable").otherwise("partial"),
     })
 
 
 def project_traces(statuses: DataFrame, events: DataFrame) -> DataFrame:
-    """trace_id, status of the older trace model, provider and model of the first model request, events kept."""
+    """trace_id, status of the older trace model, provider and model of the first model request, events kept and dropped."""
     kinds = project_kinds(events)
-    told = kinds.groupBy("trace_id").agg(
-        F.min_by("model", F.when(F.col("kind") == "model_request", F.col("seq"))).alias("model"), F.sum((F.col("outcome") == "exact").cast("long")).alias("kept"), F.sum((F.col("outcome") != "exact").cast("long")).alias("dropped"))
+    first = F.min_by(F.struct("provider" if "provider" in events.columns else F.lit(None).cast("string").alias("provider"), "model"), F.when(F.col("kind") == "model_request", F.col("seq")))
+    told = kinds.groupBy("trace_id").agg(first.alias("q"), F.sum((F.col("outcome") != "unavailable").cast("long")).alias("kept"), F.sum((F.col("outcome") == "unavailable").cast("long")).alias("dropped"))
     state = F.when(F.col("status") == "completed", "success").when(F.col("status").isin("failed", "cancelled"), "error").otherwise("started")
-    return statuses.join(told, "trace_id").select("trace_id", state.alias("status"), "model", "kept", "dropped")
+    return statuses.join(told, "trace_id").select("trace_id", state.alias("status"), "q.provider", "q.model", "kept", "dropped")
 
 
-def loss_report(projected: DataFrame) -> DataFrame:
-    """One row for each mapping of each trace: path, outcome (exact, partial, inferred, unavailable), in order."""
-    fixed = [
-        ("trace.id", "exact"), ("trace.startedAt", "exact"), ("trace.status", "partial"), ("trace.runId", "unavailable"), ("trace.agent", "unavailable"), ("trace.task", "unavailable"),
-        ("trace.mode", "inferred"), ("trace.capturePolicy", "inferred"), ("trace.spans", "unavailable"), ("trace.analysis", "unavailable"),
-    ]
-    rows = [projected.select("trace_id", F.lit(i).alias("position"), F.lit(path).alias("path"), F.lit(outcome).alias("outcome")) for i, (path, outcome) in enumerate(fixed)]
-    rows.append(projected.select("trace_id", F.lit(len(fixed)).alias("position"), F.lit("trace.model").alias("path"), F.when(F.col("model").isNull(), "unavailable").otherwise("exact").alias("outcome")))
-    rows.append(projected.select("trace_id", F.lit(len(fixed) + 1).alias("position"), F.lit("trace.events").alias("path"), F.when(F.col("dropped") > 0, "partial").otherwise("exact").alias("outcome")))
-    return reduce(DataFrame.unionByName, rows)
+def _mapping(df: DataFrame, section: int, event: Column, item: Column, path: Column, outcome: Column, reason: Column) -> DataFrame:
+    return df.select(
+        "trace_id", F.lit(section).alias("section"), event.cast("long").alias("event"), item.cast("int").alias("item"), path.alias("path"), F.lit("evidence_to_legacy_trace").alias("stage"), outcome.alias("outcome"), reason.alias("reason"))
 
 
-def loss_mappings(statuses: DataFrame, events: DataFrame) -> DataFrame:
+def _present(payload: Column, path: str) -> Column:
+    """Whether the JSON text has a value there that isn't null."""
+    type_ = F.schema_of_variant(F.try_variant_get(payload, f"$.{path}", "variant"))
+    return F.coalesce(type_.startswith("ARRAY") if path == "contextContributions" else type_ != "VOID", F.lit(False))
+
+
+def loss_mappings(statuses: DataFrame, events: DataFrame, spans: DataFrame | None = None, conditions: DataFrame | None = None, observations: DataFrame | None = None) -> DataFrame:
     """trace_id, section, event, item (their order), path, stage, outcome and reason: what an older trace can't hold.
 
     Section 0 is the trace's, 1 the spans', 2 the events': one row for each event (partial, or unavailable if its kind has no
-    type) and one for each field of it that is lost.  Envelopes and usage aren't in flat rows, nor are conditions and
-    declarations; so they have no rows.
+    type) and one for each field of it that is lost; 3 the raw declarations'.  events may have `payload` (JSON text); spans:
+    trace_id, place, duration_ms, participants (only their losses; that a trace has spans shows in its events); conditions: trace_id; observations:
+    trace_id, place, payload.
     """
-    def rows(df: DataFrame, section: int, event: Column, item: int, path: Column, outcome: Column, reason: Column) -> DataFrame:
-        return df.select("trace_id", F.lit(section).alias("section"), event.cast("long").alias("event"), F.lit(item).alias("item"), path.alias("path"), F.lit("evidence_to_legacy_trace").alias("stage"), outcome.alias("outcome"), reason.alias("reason"))
-
-    told = events.groupBy("trace_id").agg(
-        F.max(F.when(F.col("kind") == "model_request", F.col("model"))).alias("model"), F.max(((F.col("kind") == "span_start") & F.col("span_id").isNotNull()).cast("int")).alias("spans"))
-    traces, nought = statuses.join(told, "trace_id"), F.lit(0)
+    lost, nought = F.lit("unavailable"), F.lit(0)
+    model = F.min_by(F.struct("model"), F.when(F.col("kind") == "model_request", F.col("seq")))["model"]
+    told = events.groupBy("trace_id").agg(model.alias("model"), F.max(((F.col("kind") == "span_start") & F.col("span_id").isNotNull()).cast("int")).alias("spans"))
+    traces = statuses.join(told, "trace_id")
     done, derived = F.col("finished_at").isNotNull(), F.col("model").isNotNull()
     not_done = F.concat(F.lit('canonical trace has no observed terminal time (status "'), "status", F.lit('"); legacy endedAt is omitted'))
     special = {
@@ -343,18 +366,31 @@ def loss_mappings(statuses: DataFrame, events: DataFrame) -> DataFrame:
     }
     fields = ("path", "outcome", "reason")
     fixed = F.array(*(F.struct(F.lit(i).alias("item"), *(c.alias(n) for n, c in zip(fields, special.get(p, tuple(map(F.lit, (p, o, r)))), strict=True))) for i, (p, o, r) in enumerate(losses.LOSSES)))
-    first = traces.select("trace_id", F.explode(fixed).alias("x")).select("trace_id", F.lit(0).alias("section"), nought.cast("long").alias("event"), "x.item", "x.path", F.lit("evidence_to_legacy_trace").alias("stage"), "x.outcome", "x.reason")
-    spans = rows(traces.where("spans = 1"), 1, nought, 0, F.lit("trace.spans"), F.lit("unavailable"), F.lit(losses.SPANS))
+    each = traces.select("trace_id", F.explode(fixed).alias("x"))
+    out = [_mapping(each, 0, nought, F.col("x.item"), F.col("x.path"), F.col("x.outcome"), F.col("x.reason")), _mapping(traces.where("spans = 1"), 1, nought, nought, F.lit("trace.spans"), lost, F.lit(losses.SPANS))]
+    if conditions is not None:
+        out.append(_mapping(conditions.select("trace_id").distinct(), 0, nought, F.lit(len(losses.LOSSES)), F.lit("trace.conditions"), lost, F.lit(losses.CONDITIONS)))
+    if spans is not None:
+        for i, (present, (name, why)) in enumerate(zip((F.col("duration_ms").isNotNull(), F.size("participants") > 0), losses.SPAN_LOSSES, strict=True)):
+            out.append(_mapping(spans.where(present), 1, F.col("place"), F.lit(1 + i), F.concat(F.lit("trace.spans["), F.col("place").cast("string"), F.lit(f"].{name}")), lost, F.lit(why)))
+
+    # One pass over the events: each gives an array of its rows.
     at = F.row_number().over(Window.partitionBy("trace_id").orderBy("seq")) - 1
-    kinds = project_kinds(events).withColumn("at", at)
+    kinds = project_kinds(events).withColumns({"at": at, "_p": F.try_parse_json("payload") if "payload" in events.columns else F.lit(None).cast("variant")})
     path = F.concat(F.lit("events["), F.col("at").cast("string"), F.lit("]"))
     kept, unseen = F.col("event_type").isNotNull(), F.coalesce(F.col("role") == "unobservable", F.lit(False))
     note = F.when(F.col("content_phase").isNotNull(), F.concat(F.lit('; observationRole "'), "role", F.lit('" approximated by ContentPhase "'), "content_phase", F.lit('"'))).when(unseen, '; observationRole "unobservable" has no ContentPhase approximation').otherwise("")
     reason = F.when(kept, F.concat(F.lit('kind "'), "kind", F.lit('": '), choose(F.col("kind"), losses.KIND_REASONS), note)).otherwise(F.concat(F.lit('canonical event kind "'), "kind", F.lit('" has no legacy TraceEventType; omitted from the legacy trace view')))
-    lost = F.lit("unavailable")
-    out = [first, spans, rows(kinds, 2, F.col("at"), 0, path, F.when(kept, "partial").otherwise("unavailable"), reason),
-           rows(kinds.where(kept & unseen), 2, F.col("at"), 1, F.concat(path, F.lit(".observationRole")), lost, F.lit(losses.UNOBSERVABLE))]
-    out += [rows(kinds.where("kind = 'error'"), 2, F.col("at"), 2 + i, F.concat(path, F.lit(f".{name}")), lost, F.lit(why)) for i, (name, why) in enumerate(losses.ERROR_LOSSES)]
+    rows = [(F.lit(True), F.lit(""), F.when(kept, "partial").otherwise("unavailable"), reason), (kept & unseen, F.lit(".observationRole"), lost, F.lit(losses.UNOBSERVABLE))]
+    rows += [(F.col("kind").isin(*kinds_) & _present(F.col("_p"), there), F.lit(f".{told_ or there}"), lost, F.lit(why)) for kinds_, there, told_, why in losses.FIELD_LOSSES]
+    rows += [(F.col("kind") == "error", F.lit(f".{name}"), lost, F.lit(why)) for name, why in losses.ERROR_LOSSES]
+    made = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(i).alias("item"), F.concat(path, suffix).alias("path"), outcome.alias("outcome"), why.alias("reason"))) for i, (when, suffix, outcome, why) in enumerate(rows))))
+    each = kinds.select("trace_id", "at", F.explode(made).alias("x"))
+    out.append(_mapping(each, 2, F.col("at"), F.col("x.item"), F.col("x.path"), F.col("x.outcome"), F.col("x.reason")))
+    if observations is not None:
+        raw = observations.withColumn("_p", F.try_parse_json("payload"))
+        for i, (name, why) in enumerate(losses.DECLARATION_LOSSES):
+            out.append(_mapping(raw.where(_present(F.col("_p"), name)), 3, F.col("place"), F.lit(i), F.concat(F.lit("rawObservations["), F.col("place").cast("string"), F.lit(f"].payload.{name}")), lost, F.lit(why)))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import credential_like, redact, redact_and_truncate
+from ledgerline.functions.text import choose, credential_like, redact, redact_and_truncate
 from ledgerline.functions.vocabulary import EXCERPT, PAGE
 
 #: What each mode stores.
@@ -53,6 +53,24 @@ def outcome(exchanges: DataFrame) -> DataFrame:
     })
 
 
+def assemble_traces(exchanges: DataFrame, default_models: dict[str, str] | None = None) -> DataFrame:
+    """A trace for each exchange (trace_id, captured_at, provider, request and response as JSON; ended_at, base_url and trace_status if known).
+
+    The model is the response's, else the request's, else the provider's default.  Without a status an exchange without a response that is
+    an object is an error.  Traces are stored in standard mode and don't expire.
+    """
+    field = lambda c: F.col(c) if c in exchanges.columns else F.lit(None).cast("string")
+    answered = F.coalesce(F.schema_of_variant(F.try_parse_json("response")).startswith("OBJECT"), F.lit(False))
+    status = F.coalesce(field("trace_status"), F.when(answered, "success").otherwise("error"))
+    known = choose(F.col("provider"), default_models or {}).cast("string")
+    model = F.coalesce(F.get_json_object("response", "$.model"), F.get_json_object("request", "$.model"), known)
+    return exchanges.select(
+        "trace_id", F.col("captured_at").alias("started_at"), field("ended_at").cast(exchanges.schema["captured_at"].dataType).alias("ended_at"), "provider", model.alias("model"), F.lit("standard").alias("mode"), status.alias("status"),
+        F.to_json(F.struct(field("base_url").alias("baseUrl"))).alias("metadata"), F.to_json(capture_policy(F.lit("standard"))).alias("capture_policy"),
+        F.col("captured_at").alias("created_at"), F.lit(None).cast(exchanges.schema["captured_at"].dataType).alias("expires_at"),
+    )
+
+
 def sanitise_payload(events: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """Payload columns (payload_id, storage_key, excerpt, payload_redacted) as the policy (mode, raw_payloads, excerpts) lets them be stored."""
     debug, short = (F.col("mode") == "debug") & F.col("raw_payloads"), F.col("excerpts") & (F.coalesce("excerpt", F.lit("")) != "")

@@ -87,7 +87,7 @@ def to_blocks(events: DataFrame) -> DataFrame:
     earlier = F.coalesce(F.sum(F.col("kept").cast("long")).over(order), F.lit(0))
     kept = kept.withColumn("n", earlier + F.col("turn")).where("kept")
     return kept.select(
-        F.concat(F.lit("trace-"), F.col("trace_id")).alias("run_id"), F.col("turn").alias("turn_number"), F.concat_ws("-", F.lit("pt"), "trace_id", F.col("n").cast("string")).alias("block_id"),
+        F.col("trace_id").alias("run_id"), F.col("turn").alias("turn_number"), F.concat_ws("-", F.lit("pt"), "trace_id", F.col("n").cast("string")).alias("block_id"),
         F.col("block_source").alias("source_type"), "content", F.col("tokens").alias("captured_tokens"), F.col("event_ordinal").alias("ordinal"),
     )
 
@@ -99,9 +99,22 @@ def ordered(events: DataFrame, column: str) -> DataFrame:
     return grouped.select("trace_id", "n", F.col("m.v").alias(column))
 
 
-def list_summary(events: DataFrame) -> DataFrame:
-    """A listing row for each trace: events, tokens in and out as text (— if unknown), error events."""
+def event(**given: Column) -> Column:
+    """A trace event as a struct: what is given, an id and the time now where these are not.
+
+    The id is random, so write the rows before they are used twice; an id that is given as null stays null.
+    """
+    made = {"event_id": F.uuid(), "timestamp": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")} | given
+    return F.struct(*(c.alias(n) for n, c in made.items()))
+
+
+def list_summary(events: DataFrame, traces: DataFrame | None = None) -> DataFrame:
+    """A listing row for each trace: events, tokens in and out as text (— if unknown), error events, status; with traces also their
+    status, provider and model (unknown by default)."""
     counts = events.groupBy("trace_id").agg(F.count("*").alias("events"), F.sum((F.col("type") == "provider_error").cast("long")).alias("errors"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
     joined = counts.join(usage_metrics(events), "trace_id")
-    return joined.select("trace_id", "events", "errors", text("input_tokens").alias("input"), text("output_tokens").alias("output"), F.when(F.col("errors") > 0, "error").otherwise("success").alias("status"))
+    if traces is None:
+        return joined.select("trace_id", "events", "errors", text("input_tokens").alias("input"), text("output_tokens").alias("output"), F.when(F.col("errors") > 0, "error").otherwise("success").alias("status"))
+    own = traces.select("trace_id", "status", *(F.coalesce(F.col(c) if c in traces.columns else F.lit(None), F.lit("unknown")).alias(c) for c in ("provider", "model"))).join(joined, "trace_id", "left").na.fill(0, ["events", "errors"])
+    return own.select("trace_id", "status", "provider", "model", "events", "errors", text("input_tokens").alias("input"), text("output_tokens").alias("output"))

@@ -206,7 +206,7 @@ ORACLE = {
     "run_output": V3 + ", " + _TURN + "SELECT trace_id, count(*) AS turns, CAST(CASE WHEN sum(output_tokens) <> 0 THEN sum(output_tokens) END AS BIGINT) AS output_tokens FROM tu GROUP BY 1",
     "trace_to_blocks": V3 + """, k AS (SELECT *, CASE WHEN type = 'message' AND phase = 'said' THEN 'user_message' WHEN type = 'message' AND phase = 'generated' THEN 'assistant_message' WHEN type = 'egress_response' THEN 'unknown' END AS source_type FROM t),
  n AS (SELECT *, source_type IS NOT NULL AS kept, coalesce(sum(CASE WHEN source_type IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + turn AS n FROM k)
- SELECT 'trace-' || trace_id AS run_id, CAST(turn AS BIGINT) AS turn_number, 'pt-' || trace_id || '-' || CAST(n AS BIGINT) AS block_id, source_type, excerpt AS content, tokens AS captured_tokens FROM n WHERE kept""",
+ SELECT trace_id AS run_id, CAST(turn AS BIGINT) AS turn_number, 'pt-' || trace_id || '-' || CAST(n AS BIGINT) AS block_id, source_type, excerpt AS content, tokens AS captured_tokens FROM n WHERE kept""",
     "trace_list_summary": V3 + """SELECT trace_id, count(*) AS events, CAST(sum(CASE WHEN type = 'provider_error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, coalesce(CAST(any_value(u.input_tokens) AS VARCHAR), '—') AS input,
  coalesce(CAST(any_value(u.output_tokens) AS VARCHAR), '—') AS output, CASE WHEN sum(CASE WHEN type = 'provider_error' THEN 1 ELSE 0 END) > 0 THEN 'error' ELSE 'success' END AS status FROM e JOIN u USING (trace_id) GROUP BY 1""",
     "ordered_decisions": V3 + "SELECT trace_id, count(*) AS n, string_agg(routing, ',' ORDER BY o) AS decisions FROM e GROUP BY 1",

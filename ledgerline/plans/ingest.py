@@ -23,12 +23,6 @@ def _providers(spark):
 
 
 def redact_custom(spark, d):
-    t = table(spark, d, "documents")
-    return t.where(F.col("text").rlike(TOKEN)).select("doc_id", redact(F.col("text"), [TOKEN]).alias("redacted"))
-
-
-def redact_documents(spark, d):
-    """Every document, whatever rule changes it (redact_custom shows those with the lower-case pattern only)."""
     return table(spark, d, "documents").select("doc_id", redact(F.col("text"), [TOKEN]).alias("redacted"))
 
 
@@ -73,7 +67,9 @@ def payload_policy(spark, d):
 
 
 def provider_models(spark, d):
-    return ingest.provider_models(_providers(spark))
+    """Brands of parts as models of the parts' types."""
+    made = table(spark, d, "part").groupBy(F.col("p_type").alias("id")).agg(F.array_sort(F.collect_set(F.struct(F.col("p_brand").alias("id")))).alias("models"))
+    return ingest.provider_models(made)
 
 
 def route_models(spark, d):
@@ -116,20 +112,21 @@ def list_page(spark, d):
 
 
 def append_verdicts(spark, d):
-    e = table(spark, d, "events")
-    key = F.col("user_id").cast("string")
-    old = e.where("event_id % 3 = 0").groupBy(key.alias("k")).agg(F.min("event_type").alias("text"))
-    new = e.where("event_id % 3 = 1").select(key.alias("k"), F.col("event_type").alias("text"), "event_id")
-    return ingest.classify_append(old, new, "k", "text").groupBy("k", "text", "verdict").agg(F.count("*").alias("n"))
-
-
-def append_verdicts_all(spark, d):
-    """As append_verdicts, but every event comes, those of the stored part again: each gets a verdict."""
+    """Every event comes to a store that has the first text of each key, those of the stored part again."""
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("k"), F.col("event_type").alias("text"), "event_id")
     old = e.where("event_id % 3 = 0").groupBy("k").agg(F.min("text").alias("text"))
     return ingest.classify_append(old, e, "k", "text").groupBy("k", "text", "verdict").agg(F.count("*").alias("n"))
 
 
+def assembled_traces(spark, d):
+    """A trace of each conversation's exchange, a few without a model or an answer."""
+    i = F.col("conv_id")
+    request = F.when(i % 3 > 0, F.concat(F.lit('{"model":"q'), (i % 4).cast("string"), F.lit('"}'))).otherwise("{}")
+    response = F.when(i % 5 == 0, "oops").when(i % 7 > 0, '{"model":"r"}').otherwise("{}")
+    rows = table(spark, d, "conversations").select("conv_id").distinct().select(i.cast("string").alias("trace_id"), F.lit("2024-01-01T00:00:00Z").alias("captured_at"), F.when(i % 2 == 0, "alpha").otherwise("beta").alias("provider"), request.alias("request"), response.alias("response"))
+    return ingest.assemble_traces(rows, {"beta": "b"}).select("trace_id", "provider", "model", "mode", "status", "expires_at")
+
+
 def exchange_trace_events(spark, d):
     c = table(spark, d, "conversations")
     m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
@@ -140,8 +137,8 @@ def exchange_trace_events(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    redact_custom, redact_documents, redact_builtin_planted, redact_truncate, credential_texts, token_sizes, display_hashes, escaped_pages, metadata_sanitise, payload_policy, provider_models, route_models, exchange_outcome,
-    retention_expiry, purge_expired, cascade_delete, list_page, append_verdicts, append_verdicts_all, exchange_trace_events,
+    redact_custom, redact_builtin_planted, redact_truncate, credential_texts, token_sizes, display_hashes, escaped_pages, metadata_sanitise, payload_policy, provider_models, route_models, exchange_outcome,
+    retention_expiry, purge_expired, cascade_delete, list_page, append_verdicts, assembled_traces, exchange_trace_events,
 )}
 _T = r"(?i)token\s*=\s*\"[0-9a-f]+\""
 
@@ -159,8 +156,7 @@ _O = """WITH t AS (SELECT o_orderkey AS trace_id, o_orderdate AS created_at, CAS
  x AS (SELECT * FROM r WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '1997-06-30 00:00:00') """
 _TEXT = "trace_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, retention_days, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at"
 ORACLE = {
-    "redact_custom": f"SELECT doc_id, regexp_replace(text, '{_T}', '[REDACTED]', 'g') AS redacted FROM documents WHERE regexp_matches(text, 'token\\s*=\\s*\"[0-9a-f]+\"')",
-    "redact_documents": f"SELECT doc_id, {_rules_sql(f"regexp_replace(text, '{_T}', '[REDACTED]', 'g')")} AS redacted FROM documents",
+    "redact_custom": f"SELECT doc_id, {_rules_sql(f"regexp_replace(text, '{_T}', '[REDACTED]', 'g')")} AS redacted FROM documents",
     "redact_builtin_planted": "SELECT event_id, 'api_key=[REDACTED]; use Bearer [REDACTED] now; my [REDACTED_API_KEY]' AS redacted FROM events",
     "redact_truncate": f"WITH r AS (SELECT doc_id, regexp_replace(text, '{_T}', '[REDACTED]', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE left(t, 239) || '…' END AS excerpt FROM r",
     "credential_texts": f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_T}') AS credential_like FROM documents",
@@ -172,7 +168,7 @@ ORACLE = {
     "payload_policy": """WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'minimal' WHEN 1 THEN 'standard' ELSE 'debug' END AS mode FROM events)
  SELECT event_id, mode, CASE WHEN mode = 'debug' OR (mode = 'standard' AND event_id % 5 > 0) THEN 'p-' || event_id END AS payload_id, CASE WHEN mode = 'debug' AND event_id % 2 = 1 THEN 'key-' || event_id END AS storage_key,
  CASE WHEN mode <> 'minimal' AND event_id % 5 > 0 THEN 'secret=[REDACTED], ok' END AS excerpt, CASE WHEN mode = 'debug' THEN false WHEN mode = 'standard' AND event_id % 5 > 0 THEN true END AS payload_redacted FROM e""",
-    "provider_models": "SELECT * FROM (VALUES ('Brand#11', 'alpha'), ('Brand#12', 'beta'), ('Brand#21', 'beta'), ('Brand#31', 'gamma')) v(id, owned_by)",
+    "provider_models": "SELECT DISTINCT p_brand AS id, p_type AS owned_by FROM part",
     "route_models": "SELECT p_partkey, p_brand AS model, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'alpha' WHEN p_brand IN ('Brand#23', 'Brand#21') THEN 'beta' WHEN p_brand = 'Brand#31' THEN 'gamma' ELSE 'beta' END AS provider FROM part",
     "exchange_outcome": """WITH e AS (SELECT event_id AS i, event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 11 = 0 OR event_id % 19 = 0 AS pre, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 302 ELSE 200 END AS s FROM events),
  f AS (SELECT *, CASE WHEN i % 7 = 0 THEN 'upstream_request_error' WHEN s <> 200 THEN 'upstream_non_2xx' WHEN i % 3 = 0 THEN 'upstream_invalid_body' END AS err FROM e)
@@ -182,10 +178,10 @@ ORACLE = {
     "purge_expired": _O + "SELECT trace_id FROM x",
     "cascade_delete": _O + "SELECT l_orderkey AS trace_id, count(*) AS events FROM lineitem WHERE l_orderkey IN (SELECT trace_id FROM x) GROUP BY 1",
     "list_page": _O + f"SELECT {_TEXT} FROM (SELECT * FROM r ORDER BY r.created_at DESC, trace_id LIMIT 100 OFFSET 50)",
-    "append_verdicts": """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS k, min(event_type) AS h FROM events WHERE event_id % 3 = 0 GROUP BY 1), n AS (SELECT CAST(user_id AS VARCHAR) AS k, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n, min(event_type) OVER (PARTITION BY user_id) AS lo FROM events WHERE event_id % 3 = 1)
- SELECT n.k, text, CASE WHEN h IS NOT NULL THEN CASE WHEN h = text THEN 'already_present' ELSE 'conflict' END WHEN n = 1 THEN 'stored' WHEN text = lo THEN 'already_present' ELSE 'conflict' END AS verdict, count(*) AS n FROM n LEFT JOIN o ON o.k = n.k GROUP BY ALL""",
-    "append_verdicts_all": """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS k, min(event_type) AS h FROM events WHERE event_id % 3 = 0 GROUP BY 1), n AS (SELECT CAST(user_id AS VARCHAR) AS k, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n, min(event_type) OVER (PARTITION BY user_id) AS lo FROM events)
+    "append_verdicts": """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS k, min(event_type) AS h FROM events WHERE event_id % 3 = 0 GROUP BY 1), n AS (SELECT CAST(user_id AS VARCHAR) AS k, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n, min(event_type) OVER (PARTITION BY user_id) AS lo FROM events)
  SELECT n.k, text, CASE WHEN h IS NOT NULL THEN CASE WHEN h = text THEN 'already_present' ELSE 'conflict' END WHEN n = 1 THEN 'stored' WHEN text = lo THEN 'already_present' ELSE 'conflict' END AS verdict, count(*) AS n FROM n LEFT JOIN o ON o.k = n.k GROUP BY ALL""",
+    "assembled_traces": """SELECT CAST(conv_id AS VARCHAR) AS trace_id, CASE WHEN conv_id % 2 = 0 THEN 'alpha' ELSE 'beta' END AS provider, CASE WHEN conv_id % 5 > 0 AND conv_id % 7 > 0 THEN 'r' WHEN conv_id % 3 > 0 THEN 'q' || (conv_id % 4) WHEN conv_id % 2 = 1 THEN 'b' END AS model, 'standard' AS mode,
+ CASE WHEN conv_id % 5 = 0 THEN 'error' ELSE 'success' END AS status, CAST(NULL AS VARCHAR) AS expires_at FROM (SELECT DISTINCT conv_id FROM conversations)""",
     "exchange_trace_events": """WITH c AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS o FROM conversations WHERE role IN ('system', 'user', 'assistant')), z AS (SELECT conv_id, count(*) AS n FROM c GROUP BY 1)
  SELECT CAST(conv_id AS VARCHAR) AS trace_id, CAST(o AS INTEGER) AS event_ordinal, CASE role WHEN 'system' THEN 'instruction' ELSE 'message' END AS type, CASE role WHEN 'user' THEN 'said' ELSE 'sent' END AS content_phase, CASE role WHEN 'assistant' THEN 'model' ELSE role END AS actor_role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(NULL AS VARCHAR) AS routing_decision, length(text) AS size FROM c
  UNION ALL SELECT CAST(conv_id AS VARCHAR), CAST(n + k AS INTEGER), t, p, a, CASE t WHEN 'message' THEN 1 WHEN 'inference' THEN conv_id % 50 + 7 END, r, CASE t WHEN 'message' THEN 4 END FROM z, (VALUES (0, 'provider_request', 'requested', 'ingress', 'routed to alpha'), (1, 'provider_response', 'observed', 'provider', NULL), (2, 'message', 'generated', 'model', NULL), (3, 'inference', 'observed', 'provider', NULL), (4, 'egress_response', 'returned', 'ingress', NULL)) v(k, t, p, a, r)""",

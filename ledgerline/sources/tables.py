@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +48,9 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_tokens(blocks: DataFrame) -> DataFrame:
-    """tokens: always estimated anew; claimed_tokens: as captured, if they were."""
-    own = blocks.withColumn("tokens", token_estimate(F.col("content")))
+def with_tokens(blocks: DataFrame, estimate: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """tokens: always estimated anew, by any function of the content's column; claimed_tokens: as captured, if they were."""
+    own = blocks.withColumn("tokens", estimate(F.col("content")).cast("long"))
     return own.withColumn("claimed_tokens", F.coalesce("captured_tokens", "tokens"))
 
 

@@ -1,8 +1,8 @@
-"""Ingest of exchange records as a stream: files of JSON lines in, trace events out.
+"""Ingest of exchange records as a stream: files of JSON lines in, a trace store out.
 
-A record is (trace_id, captured_at, provider, request, response).  Replays of a trace within the watermark are dropped; each
-micro-batch is turned into events like a batch and appended.  Turns and totals are derived when read, by trace and order,
-so that late records need no state here.
+A record is (trace_id, captured_at, provider, request, response).  Replays of a trace within the watermark are dropped by the stream; later
+ones find the trace in the store.  Each micro-batch is turned into traces and events like a batch and becomes one segment of
+the store.  Turns and totals are derived when read, by trace and order, so that late records need no state here.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.operators.store import sanitised_events
+from ledgerline.operators import ingest, store
 from ledgerline.sources.runs import exchange_events
 
 SCHEMA = "trace_id string, captured_at timestamp, provider string, request string, response string"
@@ -25,14 +25,19 @@ def read(spark: SparkSession, path: str, delay: str = "1 hour", max_files: int =
     return rows.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(["trace_id"])
 
 
-def write(records: DataFrame, store: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Appends the records' events to store/trace_events, a folder for each batch, so that a repeated batch replaces itself."""
+def write(records: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Adds the records' traces and events to the store, a segment for each batch; a batch that is run again replaces its own.
+
+    on_batch gets the batch's traces, its events and its number.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        events = sanitised_events(exchange_events(batch))
-        events.write.mode("overwrite").parquet(f"{store}/trace_events/batch={number}")
+        if batch.isEmpty():
+            return
+        traces, events = ingest.assemble_traces(batch), exchange_events(batch)
+        store.add_new(traces, events, path, f"batch-{number}")
         if on_batch:
-            on_batch(batch.sparkSession.read.parquet(f"{store}/trace_events/batch={number}"), number)
+            on_batch(traces, events, number)
 
     return records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,7 +4,8 @@ import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import analysis, detectors, evidence, reports, store, traces
+from ledgerline import cli
+from ledgerline.operators import analysis, detectors, evidence, ingest, projections, reports, store, traces
 from ledgerline.sources import config, runs
 from ledgerline.sources.tables import with_tokens
 from ledgerline.streaming import ingest as stream
@@ -59,7 +60,7 @@ def test_totals_and_findings(spark, parsed):
     assert sorted(map(str, detectors.all_findings(shuffled, turns).collect())) == sorted(map(str, found.values()))
     report = reports.analysis_json(blocks, turns)
     assert json.loads(report.first().report)["input_tokens"] == total.input_tokens
-    assert "Findings (5)" in reports.terminal(report, "r1") and "<pre>" in reports.page(report, "r1")
+    assert "Findings (5)" in reports.terminal(report, "r1") and reports.page(report, "r1").count('class="finding') == 5
 
 
 USAGE = [  # events (type, phase, tokens, prompt, completion, total); input, output, inference
@@ -118,7 +119,7 @@ def test_exchange_events_and_store(spark, tmp_path):
     usage = {r.trace_id: r for r in traces.usage_metrics(events).collect()}
     assert (usage["t1"].input_tokens, usage["t1"].output_tokens, usage["t1"].inference_tokens) == (120, 28, 148)
     path = str(tmp_path / "store")
-    head = spark.createDataFrame([("t1", "2024-01-01", None), ("t2", "2024-01-02", "2024-02-01")], "trace_id string, created_at string, expires_at string")
+    head = spark.createDataFrame([("t1", "2024-01-01", None, "success", ""), ("t2", "2024-01-02", "2024-02-01", "error", "m")], "trace_id string, created_at string, expires_at string, status string, model string")
     store.save(head, events, path)
     with pytest.raises(ValueError):
         store.save(head.limit(1), events, path)
@@ -127,20 +128,55 @@ def test_exchange_events_and_store(spark, tmp_path):
     told = lambda k: F.get_json_object("metadata", f"$.{k}").cast("long")
     again = traces.usage_metrics(back.withColumns({"prompt_tokens": told("promptTokens"), "completion_tokens": told("completionTokens"), "total_tokens": told("totalTokens")})).first()
     assert again.inference_tokens == 148 and again.input_tokens != 120
+    assert "unknown" in cli.listing(spark, path, "terminal") and [t["id"] for t in json.loads(cli.listing(spark, path, "json"))] == ["t1", "t2"]
+    assert "provider_request" in cli.show(spark, path, "t1", "terminal") and "<h2>Events by type</h2>" in cli.show(spark, path, "t1", "html")
+    shown = json.loads(cli.show(spark, path, "t1", "json"))
+    assert shown["trace"]["eventCount"] == 8 and shown["trace"]["model"] is None and shown["routingDecisions"] == ["routed to alpha"] and "transformations" not in shown and {"eventType": "message", "text": "api_key=[REDACTED] hello"} in shown["excerpts"]
+    policy = {r.trace_id: (r.model, json.loads(r.capture_policy)["excerpts"]) for r in store.reconstructed(store.load(spark, path)[0]).collect()}
+    assert policy == {"t1": (None, True), "t2": ("m", True)}
     assert store.purge(spark, path, "2024-03-01") == 1 and store.delete(spark, path, "nobody") is False and store.delete(spark, path, "t1") is True
     assert store.load(spark, path)[1].count() == 0
 
 
-def test_stream(spark, tmp_path):
-    src = tmp_path / "in"
+def test_stream_and_store_share_a_layout(spark, tmp_path):
+    src, path = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
     request, response = exchange()
-    row = lambda t: json.dumps({"trace_id": t, "captured_at": "2024-01-01T00:00:00Z", "provider": "alpha", "request": request, "response": response})
-    (src / "a.json").write_text("\n".join([row("a"), row("b"), row("a")]))
-    q = stream.write(stream.read(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    out = spark.read.parquet(str(tmp_path / "out" / "trace_events"))
-    assert out.select("trace_id").distinct().count() == 2 and out.count() == 16
+    row = lambda t, day=1: json.dumps({"trace_id": t, "captured_at": f"2024-01-0{day}T00:00:00Z", "provider": "alpha", "request": request, "response": response})
+    x = spark.createDataFrame([("s", "2023-12-31T00:00:00", "alpha", request, response)], "trace_id string, captured_at string, provider string, request string, response string").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    store.save(ingest.assemble_traces(x), runs.exchange_events(x), path)
+    seen = []
+
+    def run():
+        stream.write(stream.read(spark, str(src)), path, str(tmp_path / "cp"), lambda t, e, n: seen.append((t.count(), e.count()))).awaitTermination(120)
+
+    def held():
+        rows, events = store.load(spark, path)
+        return {r.trace_id: r.n for r in events.groupBy("trace_id").agg(F.count("*").alias("n")).collect()}, sorted(r.trace_id for r in rows.collect())
+
+    (src / "a.json").write_text("\n".join([row("a"), row("b"), row("a"), row("s")]))
+    run()
+    assert held() == ({"s": 8, "a": 8, "b": 8}, ["a", "b", "s"]) and seen == [(3, 24)]
+    (src / "b.json").write_text(row("c", 9))
+    run()
+    (src / "c.json").write_text("\n".join([row("d", 9), row("a", 9)]))  # a again, days after the watermark
+    run()
+    assert held() == (dict.fromkeys("abcds", 8), list("abcds"))
+    assert store.delete(spark, path, "a") and held()[1] == list("bcds")
+    store.add_new(ingest.assemble_traces(x), runs.exchange_events(x), path, "batch-9")
+    store.add_new(ingest.assemble_traces(x.withColumn("trace_id", F.lit("z"))), runs.exchange_events(x.withColumn("trace_id", F.lit("z"))), path, "batch-9")
+    assert held()[1] == list("bcdsz")
+
+
+def test_a_store_without_its_marker_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "s")
+    x = spark.createDataFrame([("t", "2024-01-01", "p", *exchange())], "trace_id string, captured_at string, provider string, request string, response string")
+    store.save(ingest.assemble_traces(x), runs.exchange_events(x), path)
+    (marker,) = (tmp_path / "s").glob("v*/_COMPLETE")
+    marker.unlink()
+    assert not store.exists(spark, path)
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, path)
 
 
 def test_config():
@@ -152,7 +188,7 @@ def test_config():
 
 
 def test_every_event_gets_a_verdict(spark, sf_dir):
-    rows = entry.queries()["append_verdicts_all"](spark, sf_dir).collect()
+    rows = entry.queries()["append_verdicts"](spark, sf_dir).collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
@@ -194,3 +230,45 @@ def test_issue_codes_have_their_buckets(spark):
     codes = [("error_invalid_actor", "invalid_lifecycle"), ("trace_disagrees_with_derivation", "trace_derivation_conflict"), ("unsupported_evidence_schema_version", "unsupported_schema_version"), ("seq_invalid", "invalid_evidence_record")]
     df = spark.createDataFrame(codes, "code string, want string")
     assert all(r.got == r.want for r in df.withColumn("got", evidence.translate_issue(F.col("code"))).collect())
+
+
+def test_a_large_block_counts_in_the_first_turn_of_its_id(spark):
+    rows = [("r", f"t{i}", i, "same", "tool_output", None, "x" * (40 if i == 1 else 9000), None, i) for i in (1, 2, 3)]
+    schema = "run_id string, turn_id string, turn_number long, block_id string, source_type string, name string, content string, captured_tokens long, ordinal long"
+    found = {r.finding: r for r in detectors.all_findings(with_tokens(spark.createDataFrame(rows, schema))).collect()}
+    assert (found["oversized_tool_output"].turns, found["oversized_tool_output"].blocks) == ("t1", "same,same") and found["large_single_context_block"].turns == "t1"
+
+
+def test_estimators_are_exchangeable(spark):
+    df = spark.createDataFrame([("a b c",), ("",)], "content string").withColumn("captured_tokens", F.lit(None).cast("long"))
+    assert [r.tokens for r in with_tokens(df, lambda c: F.size(F.split(c, " "))).collect()] == [3, 1]
+
+
+def test_plans_scan_and_shuffle_once(spark, sf_dir):
+    import re
+
+    from ledgerline.plans import analysis as a
+    from ledgerline.plans import evidence as e
+
+    def plan(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return len(re.findall(r"Exchange (hash|range)partitioning", text)), len(re.findall(r"FileScan parquet", text))
+
+    assert plan(e.evidence_completeness(spark, sf_dir))[0] <= 3 and plan(e.sequence_gaps(spark, sf_dir))[0] <= 6
+    assert plan(a.all_findings(spark, sf_dir))[1] <= 4
+
+
+def test_events_get_an_id_and_a_time(spark):
+    r = spark.range(2).select(traces.event(type=F.lit("message"), event_id=F.when(F.col("id") == 0, "own")).alias("e"), traces.event(type=F.lit("x")).alias("f")).collect()
+    assert r[0].e.event_id == "own" and r[1].e.event_id is None and r[0].f.event_id != r[1].f.event_id and r[0].e.timestamp.endswith("Z")
+
+
+def test_traces_that_are_no_runs(spark):
+    heads = spark.createDataFrame([("a", None, "t", True), ("", None, None, True), ("b", "g", "t", False), ("c", None, None, True)], "trace_id string, agent string, task string, events_valid boolean")
+    assert sorted((r.trace_id, r.path, r.code) for r in projections.trace_issues(heads).collect()) == [("", "id", "invalid_legacy_trace"), ("b", "events", "invalid_event_collection")]
+    rows = [("a", 0, "e0", "2024", "message", "said", None), ("a", 1, None, "", "odd", "odd", "odd"), ("a", 2, "e2", "", "odd", None, None), ("c", 0, "e3", "2024", "message", None, "diff")]
+    events = spark.createDataFrame(rows, "trace_id string, event_ordinal long, event_id string, timestamp string, type string, content_phase string, source_type string")
+    assert [(r.path, r.message.split(" valid ")[-1]) for r in projections.entry_issues(events).orderBy("path").collect()] == [("events[1]", "id field"), ("events[2]", "timestamp field")]
+    good, own = projections.valid(heads, events)
+    assert [r.trace_id for r in good.collect()] == ["c"] and own.count() == 1
+    assert {r.run_id: r.name for r in projections.to_runs(heads).collect()} == {"a": "t", "": "trace-", "b": "g", "c": "trace-c"}

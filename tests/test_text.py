@@ -43,6 +43,17 @@ def test_truncation(spark, most, want):
     assert one(spark, ["abcdef"], lambda c: text.truncate(c, most)) == [want]
 
 
+@pytest.mark.parametrize("most,want", [(1, "…"), (2, "…"), (3, "😀…"), (4, "😀…"), (5, "😀😀…"), (6, "😀😀😀"), (9, "😀😀😀")])
+def test_truncation_counts_utf16_units(spark, most, want):
+    got = one(spark, ["😀😀😀"], lambda c: text.truncate(c, most))
+    assert got == [want] and len(got[0].encode("utf-16-le")) // 2 <= most
+
+
+def test_truncation_of_long_astral_texts(spark):
+    got = one(spark, ["😀" * 300, "a" + "😀" * 300, "é" * 300, "a" * 240], lambda c: text.redact_and_truncate(c, 240))
+    assert [len(t.encode("utf-16-le")) // 2 for t in got] == [239, 240, 240, 240]
+
+
 def test_html(spark):
     assert one(spark, ["<a href=\"x\">'&"], text.html_escape) == ["&lt;a href=&quot;x&quot;&gt;&#39;&amp;"]
 
@@ -50,7 +61,7 @@ def test_html(spark):
 def test_every_document_is_redacted(spark, tmp_path):
     rows = [(1, 'Token = "ab12"'), (2, "password=p"), (3, 'token="0f" Bearer x'), (4, "plain"), (5, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.redacted for r in entry.queries()["redact_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.redacted for r in entry.queries()["redact_custom"](spark, str(tmp_path)).collect()}
     assert got == {1: "[REDACTED]", 2: "password=[REDACTED]", 3: "[REDACTED] Bearer [REDACTED]", 4: "plain", 5: None}
-    duck = duckdb.sql(entry.oracle_sql()["redact_documents"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+    duck = duckdb.sql(entry.oracle_sql()["redact_custom"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
     assert dict(duck.fetchall()) == got
