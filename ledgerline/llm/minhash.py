@@ -35,7 +35,7 @@ STARS = 2
 #: Members of a bucket up to which its pairs are simply listed.
 SMALL = 16
 #: Nodes, and shingles of all of them, of a block in the comparison of larger ones (a lone node may have more).
-BLOCK_NODES, BLOCK_SHINGLES = 384, 4_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 256, 4_000_000
 #: Pairs of one hub that are checked together.
 PARTNERS = 256
 #: Shingles whose runs of the table are compared at once.
