@@ -35,9 +35,7 @@ STARS = 2
 #: Members of a bucket up to which its pairs are simply listed.
 SMALL = 16
 #: Nodes, and shingles of all of them, of a block in the comparison of larger ones (a lone node may have more).
-BLOCK_NODES, BLOCK_SHINGLES = 256, 4_000_000
-#: Pairs of one hub that are checked together.
-PARTNERS = 256
+BLOCK_NODES, BLOCK_SHINGLES = 384, 4_000_000
 #: Shingles whose runs of the table are compared at once.
 BLOCK = 2048
 REMEMBERED = 400_000
@@ -140,7 +138,8 @@ def _sets(of: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width
 def _confirm(pairs: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a: the hub, which may be in many of them, b) of nodes whose full sets are similar enough.
 
-    A hub's set goes to a task for each PARTNERS of its pairs, so that no task gets the sets of all its partners.
+    The sets of b are joined first, so the second join may have most rows at one hub; adaptive execution splits such a partition
+    and sends the hub's set to each part.
     """
     sized = nodes.select("node", "_n")
     fits = (
@@ -149,10 +148,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str,
     )
     pairs = cut(fits, "near-pairs")
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, sketched, text, width)
-    parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "near-parts")
-    hubs = sets.toDF("a", "sa").join(parts, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    joined = dealt.join(sets.toDF("b", "sb"), "b").join(hubs, ["a", "part"])
+    joined = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return joined.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
@@ -195,14 +191,14 @@ def _large(open_: DataFrame, nodes: DataFrame, sketched: DataFrame, text: str, w
     and each task compares the full sets of two blocks at once; one link for each pair of components comes out.  So no pair
     is listed, no task holds more than two blocks, and no component is left apart that a link joins.
     """
-    large = cut(open_.where(F.col("k") > SMALL).select("band", "node", "root"), "near-large")
+    large = cut(open_.where(F.col("k") > SMALL).select("band", "node", "root", "n"), "near-large")
     if large.isEmpty():
         return large.select(F.col("node").alias("a"), F.col("node").alias("b"))
     hubs = cut(large.groupBy("band").agg(F.min("root").alias("hub")), "near-hubs")
     # Over components, not nodes: a bucket here has at least two of them.
-    clusters = cut(components(large.join(hubs, "band").select(F.col("hub").alias("a"), F.col("root").alias("b"))), "near-clusters")
-    members = cut(large.select("node", "root").distinct().join(clusters.toDF("root", "cluster"), "root"), "near-clustered")
-    sizes = members.join(nodes.select("node", "_n"), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    clusters = components(large.join(hubs, "band").select(F.col("hub").alias("a"), F.col("root").alias("b")))
+    members = cut(large.select("node", "root", "n").distinct().join(clusters.toDF("root", "cluster"), "root"), "near-clustered")
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(cut(sizes, "near-sizes"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = _sets(members, nodes, sketched, text, width)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -287,7 +283,7 @@ def _heads(sketched: DataFrame, text: str, key: str, width: int, percent: int) -
     rooted = cut((members if roots is None else members.join(roots, "node", "left")).select("band", "node", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root")), "near-rooted")
     open_ = cut(_mixed(rooted).join(nodes.select("node", F.col("_n").alias("n")), "node").select("band", "node", "root", "n", "k"), "near-open")
     discard(members, rooted)
-    few = cut(_confirm(cut(_small(open_, percent), "near-across"), nodes, sketched, text, width, percent), "near-links")
+    few = _confirm(cut(_small(open_, percent), "near-across"), nodes, sketched, text, width, percent)
     more = cut(few.unionByName(_large(open_, nodes, sketched, text, width, percent)), "near-links")
     if not more.isEmpty():
         roots = components(more if links is None else links.unionByName(more))

@@ -125,5 +125,4 @@ def test_blocks_find_what_single_comparisons_find(spark, monkeypatch):
     df, want = spark.createDataFrame(rows, "doc_id long, text string"), {k: least for (k, _), (_, least) in zip(rows, brute(rows, 2), strict=True)}
     assert {r.doc.doc_id: r.component for r in minhash.group(df, width=2).collect()} == want
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 90)
-    monkeypatch.setattr(minhash, "PARTNERS", 2)
     assert {r.doc.doc_id: r.component for r in minhash.group(df, width=2).collect()} == want
