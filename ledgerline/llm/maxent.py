@@ -12,10 +12,11 @@ That model is the prior of a second one, whose size grows with the corpus: all p
 identity (64-bit hashes; before a text's first token comes the end), and
 P(token | before) = (c(before, token) + PULL * prior) / (c(before) + PULL).  The counts stay distributed.
 
-Scoring: tokens with at least 1 in FREQUENT of all training tokens (so at most FREQUENT) go to each task; the others are
-joined to the corpus's counts by a 64-bit hash.  So no task needs the whole vocabulary, and no training token is hot in the join
-(one that only held-out texts have can be; its rows match nothing, and adaptive execution splits them).  Pairs are parted the
-same way.
+Scoring: tokens with at least 1 in FREQUENT of all training tokens (so at most FREQUENT) go to each task.  The texts are written
+in chunks; a chunk asks for the corpus's counts of its distinct pairs and other tokens, by 64-bit hashes, and says how often its
+own training texts have each.  Questions are parted by hash into buckets, a bucket adds up and answers each chunk in the order
+of its questions, and the chunk, read again, knows its places.  So no task needs the whole vocabulary, no row stands for a single
+token, and a key, however frequent, comes but once from each chunk.
 
 Null and empty texts are the end token alone.  Rows with a null id are trained on.  Repeated rows count each.
 """
@@ -23,17 +24,17 @@ Null and empty texts are the end token alone.  Rows with a null id are trained o
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import append_columns, cut
+from ledgerline.llm.common import cut, discard
 
 FREQUENT = 100_000
 END, SAME, OWN_CLASSES, CLASSES = 0, 1, 30, 64
@@ -44,13 +45,49 @@ STEPS, RATE = 12, 0.5
 PULL = 100.0
 #: Distinct tokens that a task counts before it passes them on.
 FLUSH = 300_000
-#: Pairs that a task holds before it counts them and passes them on.
-PAIR_FLUSH = 4_000_000
+#: Bytes of texts that are read at once (a longer text is alone), and keys that a bucket of counts holds, about.
+CHUNK = 2_000_000
+BUCKET = 1_500_000
 END_TOKEN = b""
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END_TOKEN]
+def parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `size` bytes of texts (the last column)."""
+    ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+@dataclass
+class Texts:
+    """Tokens of some texts: distinct ones, the place of each token among those, and how many each text has."""
+
+    words: list[bytes]
+    place: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def read(cls, texts: pa.Array) -> Texts:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+        coded = lists.values.view(pa.binary()).dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if END_TOKEN not in words:
+            words.append(END_TOKEN)
+        end = words.index(END_TOKEN)  # also what stands before leading and behind trailing white space
+        real = place != end
+        sizes = np.bincount(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[real], minlength=len(lists)) + 1
+        out, inner = np.full(sizes.sum(), end, np.int64), np.ones(sizes.sum(), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        out[inner] = place[real]
+        return cls(words, out, sizes)
+
+    @property
+    def first(self) -> np.ndarray:
+        """Where each text begins."""
+        return np.cumsum(self.sizes) - self.sizes
 
 
 def held_out(key: Column) -> Column:
@@ -70,24 +107,23 @@ def _ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
-def pair_keys(hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each token (given by its own) and the one before; before the first comes the end."""
-    h = hashes.view(np.uint64)
-    x = np.empty_like(h)
-    x[:1], x[1:] = h[-1:], h[:-1]  # a text's last token is the end
-    x *= np.uint64(0x9E3779B97F4A7C15)
+def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each token and the one before, given by their own hashes."""
+    x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-    x += h
+    x += h.view(np.uint64)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
-    return x.view(np.int64)
+    return x
 
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """h, token, ending and c: a row for each distinct token."""
 
+    size = CHUNK
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
+        own: dict[bytes, int] = {}
 
         def out():
             words = list(own)
@@ -97,9 +133,10 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for t in batch.column(0).slice(at, 64).to_pylist():
-                    own.update(tokens(t))
+            for part in parts(batch, size):
+                read = Texts.read(part.column(0))
+                n = np.bincount(read.place, minlength=len(read.words)).tolist()
+                own.update((w, own.get(w, 0) + c) for w, c in zip(read.words, n, strict=True))
                 if len(own) >= FLUSH:
                     yield out()
                     own.clear()
@@ -116,38 +153,43 @@ class Tables:
     code: dict[bytes, int]
     classes: np.ndarray
     contexts: np.ndarray
-    base: np.ndarray  # log10 of the base estimate, of frequent tokens
     within: np.ndarray  # log10 P(token | class) of frequent tokens; for endings, what is to be multiplied by the count
     unseen: np.ndarray  # by ending: log10 P(a token never seen | class)
     hashes: np.ndarray  # of frequent tokens
     counts: np.ndarray  # of frequent tokens
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
-        """Codes, and the places of tokens that aren't frequent."""
-        get = self.code.get
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and hashes, and the places of tokens that aren't frequent."""
+        get, f = self.code.get, len(self.code)
         codes = np.array([get(w, -1) for w in words], np.int64)
-        rare = np.flatnonzero(codes < 0).tolist()
-        if rare:
-            codes[rare] = [_ending(words[i]) + len(self.code) for i in rare]
-        return codes, rare
-
-    def hashed(self, words: list[bytes], codes: np.ndarray, rare: list[int]) -> np.ndarray:
-        """The hash of each token."""
-        if not rare:
-            return self.hashes[codes]
-        h = self.hashes[np.minimum(codes, len(self.code) - 1)] if len(self.code) else np.zeros(len(codes), np.int64)
-        h[rare] = [_hash(words[i]) for i in rare]
-        return h
-
-    def events(self, words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The context and the class of each token."""
-        k, b = self.classes[codes].copy(), self.contexts[codes]
+        rare = np.flatnonzero(codes < 0)
+        hashes = np.empty(len(words), np.int64)
+        hashes[codes >= 0] = self.hashes[codes[codes >= 0]]
+        hashes[rare] = [_hash(words[i]) for i in rare.tolist()]
+        codes[rare] = [_ending(words[i]) + f for i in rare.tolist()]
+        return codes, hashes, rare
+
+    def events(self, texts: Texts, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context and the class of each token (codes: of the distinct ones)."""
+        first = texts.first
+        b, k = self.contexts[codes][texts.place], self.classes[codes][texts.place]
         one, two = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
         one[1:], two[2:] = b[:-1], b[:-2]
-        again = [i for i in range(1, len(words)) if words[i] == words[i - 1]]
+        one[first] = two[first] = 0
+        two[first[texts.sizes > 1] + 1] = 0
+        again = np.zeros(len(b), bool)
+        again[1:] = texts.place[1:] == texts.place[:-1]
+        again[first] = False
         k[again] = SAME
         return two * CONTEXTS + one, k
 
+    def keys(self, texts: Texts, hashes: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys that counts are asked for, in order, and the places of each token's pair and then of each rare token among those."""
+        h = hashes[texts.place]
+        before = np.empty_like(h)
+        before[1:], before[texts.first] = h[:-1], hashes[texts.words.index(END_TOKEN)]  # before a text's first token comes the end
+        return np.unique(np.concatenate([pair_keys(before, h), hashes[rare].view(np.uint64)]), return_inverse=True)
+
 
 def build_tables(counts: DataFrame) -> tuple[Tables, int, int]:
     """counts (written) -> Tables, N, V."""
@@ -180,25 +222,21 @@ def build_tables(counts: DataFrame) -> tuple[Tables, int, int]:
     for i, (_, c) in enumerate(top):
         within[i] = 0.0 if classes[i] < OWN_CLASSES + 2 else math.log10(c) + per[classes[i]]
     within[f:] = per[classes[f:]]
-    base = np.array([math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for _, c in top])
     hashes, own_counts = np.array([_hash(w) for w, _ in top], np.int64), np.array([c for _, c in top], np.float64)
-    return Tables({w: i for i, (w, _) in enumerate(top)}, classes, contexts, base, within, np.log10(novel)[classes[f:]], hashes, own_counts), n, v
+    return Tables({w: i for i, (w, _) in enumerate(top)}, classes, contexts, within, np.log10(novel)[classes[f:]], hashes, own_counts), n, v
 
 
 def context_counts(docs: DataFrame, tables: Tables, text: str = "text") -> DataFrame:
     """context, class and n over all of docs: CONTEXTS**2 * CLASSES rows at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    shared, size = docs.sparkSession.sparkContext.broadcast(tables), CHUNK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = shared.value, np.zeros(CONTEXTS * CONTEXTS * CLASSES, np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                cells = []
-                for t in batch.column(0).slice(at, 64).to_pylist():
-                    words = tokens(t)
-                    context, k = own.events(words, own.read(words)[0])
-                    cells.append(context * CLASSES + k)
-                cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            for part in parts(batch, size):
+                read = Texts.read(part.column(0))
+                context, k = own.events(read, own.read(read.words)[0])
+                cell, n = np.unique((context * CLASSES + k).astype(np.int32), return_counts=True)
                 sums[cell] += n.astype(np.int32)
         cell = np.flatnonzero(sums)
         for at in range(0, len(cell), 100_000):
@@ -209,43 +247,85 @@ def context_counts(docs: DataFrame, tables: Tables, text: str = "text") -> DataF
     return rows.groupBy("context", "class").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(docs: DataFrame, tables: Tables, counts: DataFrame, text: str = "text") -> DataFrame:
-    """g, c2 and ct: a row for each distinct pair of adjacent tokens.
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers without the bytes that all of them have as zero."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
-    ct is what the prior given by tables lacks: the count of a token that isn't frequent (1 for others, and if it comes again).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, keys, lacks, held = shared.value, [], [], 0
+def unpacked(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:5], "little")
+    planes = np.frombuffer(pa.decompress(data[5:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(np.uint64)
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """chunk and data: rows, whose last column is the text, in Arrow's format, CHUNK bytes of texts in each."""
+    size = CHUNK
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+    return rows.mapInArrow(write, "data binary").select(F.monotonically_increasing_id().alias("chunk"), "data")
+
+
+def asked(chunks: DataFrame, tables: Tables, bits: int) -> DataFrame:
+    """bucket, chunk, ks and ns: keys of a chunk that begin with the bucket's bits, and how often its training texts have each."""
+    shared = chunks.sparkSession.sparkContext.broadcast(tables)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, starts = shared.value, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+                read = Texts.read(part.column("t"))
+                _, hashes, rare = own.read(read.words)
+                keys, place = own.keys(read, hashes, rare)
+                training = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), read.sizes).astype(np.float64)
+                of_words = np.bincount(read.place, training, len(read.words))
+                n = np.bincount(place, np.concatenate([training, of_words[rare]]), len(keys)).astype(np.uint64)
+                bounds = [*np.searchsorted(keys, starts).tolist(), len(keys)]
+                full = [b for b in range(1 << bits) if bounds[b] < bounds[b + 1]]
+                ks = [packed(np.diff(keys[bounds[b] : bounds[b + 1]], prepend=starts[b])) for b in full]
+                ns = [packed(n[bounds[b] : bounds[b + 1]]) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(ks, pa.binary()), pa.array(ns, pa.binary())], names=["bucket", "chunk", "ks", "ns"])
+
+    return chunks.mapInArrow(ask, "bucket int, chunk long, ks binary, ns binary")
+
+
+def answered(questions: DataFrame, bits: int) -> DataFrame:
+    """chunk, bucket and data: the corpus's counts of the keys that the chunk asked the bucket for, in that order."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, chunks, ks, ns = None, [], [], []
 
         def out():
-            g, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-            h = np.concatenate(lacks)[first]
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(h, mask=h == 0), pa.array(n.astype(np.int64))], names=["g", "h", "c2"])
+            keys, place = np.unique(np.concatenate(ks), return_inverse=True)
+            sums = np.bincount(place, np.concatenate(ns), len(keys)).astype(np.uint64)[place]
+            data = [packed(x) for x in np.split(sums, np.cumsum([len(k) for k in ks])[:-1])]
+            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "bucket", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for t in batch.column(0).slice(at, 64).to_pylist():
-                    words = tokens(t)
-                    codes, rare = own.read(words)
-                    h = own.hashed(words, codes, rare)
-                    lack = np.zeros(len(h), np.int64)
-                    lack[rare] = h[rare]
-                    lack[1:][h[1:] == h[:-1]] = 0
-                    keys.append(pair_keys(h))
-                    lacks.append(lack)
-                    held += len(h)
-                if held >= PAIR_FLUSH:
+            for b, chunk, k, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if b != bucket and chunks:
                     yield out()
-                    keys, lacks, held = [], [], 0
-        if held:
+                    chunks, ks, ns = [], [], []
+                bucket = b
+                chunks.append(chunk)
+                ks.append(np.cumsum(unpacked(k)))
+                ns.append(unpacked(n))
+        if chunks:
             yield out()
 
-    rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "g long, h long, c2 long")
-    pairs = cut(rows.groupBy("g", "h").agg(F.sum("c2").alias("c2")), "lm-pairs")
-    one = F.lit(1).cast("long").alias("ct")
-    return pairs.where("h is null").select("g", "c2", one).unionByName(pairs.where("h is not null").join(counts.select("h", F.col("c").alias("ct")), "h").select("g", "c2", "ct"))
+    return questions.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, bucket int, data binary")
 
 
 def feature_ids(context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,75 +382,62 @@ def train(cells: DataFrame, steps: int = STEPS, rate: float = RATE) -> np.ndarra
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("t"), held_out(F.col(key)).alias("held_out"))
+    rows = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("binary").alias("t"))
     training = rows.where(~F.col("held_out"))
     counts = cut(count_tokens(training, "t"), "lm-counts")
     tables, n, v = build_tables(counts)
-    weights = train(cut(context_counts(training, tables, "t"), "lm-contexts"))
+    discard(counts)
+    contexts = cut(context_counts(training, tables, "t"), "lm-contexts")
+    weights = train(contexts)
+    discard(contexts)
     all_contexts = np.arange(CONTEXTS * CONTEXTS)
     table = np.concatenate([logits(weights, c) for c in np.array_split(all_contexts, 64)]).astype(np.float32) / np.float32(math.log(10))
-    adjacent = pair_counts(training, tables, counts, "t")
-    top = adjacent.where(F.col("c2") * FREQUENT >= n).select("g", "c2").toArrow()  # at most FREQUENT rows; their tokens are frequent, too
-    order = np.argsort(top["g"].to_numpy())
+    chunks = cut(chunked(rows), "lm-chunks")
+    bits = max(4, (n // BUCKET).bit_length())  # keys of held-out texts come on top, repeated pairs go
+    counted = cut(answered(asked(chunks, tables, bits), bits), "lm-counted")
     spark = docs.sparkSession
-    often = spark.sparkContext.broadcast((top["g"].to_numpy()[order], top["c2"].to_numpy()[order].astype(np.float64)))
     shared, known = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(tables)
-    added = T.StructType(
-        [T.StructField("n_tokens", T.LongType()), T.StructField("sure", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()),
-         T.StructField("hs", T.ArrayType(T.LongType())), T.StructField("ns", T.ArrayType(T.IntegerType())), T.StructField("ms", T.ArrayType(T.IntegerType())), T.StructField("es", T.ArrayType(T.ShortType())),
-         T.StructField("gs", T.ArrayType(T.LongType())), T.StructField("ls", T.ArrayType(T.FloatType()))]
-    )
-
-    def make(values) -> Iterator[list[tuple]]:
-        (logs, own), (keys, known_pairs) = (shared.value, known.value), often.value
-        f = len(own.code)
-        before = np.concatenate([np.log10(own.counts / PULL + 1), np.zeros(ENDINGS)])
-        for batch in values:
-            out = []
-            for t in batch:
-                words = tokens(t)
-                codes, rare = own.read(words)
-                context, k = own.events(words, codes)
-                prior = logs[context, k] + np.where(k != SAME, own.within[codes], 0.0)
-                g = pair_keys(own.hashed(words, codes, rare))
-                place = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
-                hit = keys[place] == g if len(keys) else np.zeros(len(g), bool)
-                # All tokens of a text come before one, as its end stands for what is before the first.
-                model = float(prior.sum() - before[codes].sum() + np.log10(known_pairs[place[hit]] / PULL / 10.0 ** prior[hit] + 1).sum())
-                gs, ls = g[~hit], prior[~hit].astype(np.float32)
-                base = float(own.base[codes[codes < f]].sum())
-                if rare:
-                    h = np.array([_hash(words[i]) for i in rare], np.int64)
-                    ids, first, inverse, n_ = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                    m = np.bincount(inverse, weights=(k[rare] != SAME), minlength=len(ids)).astype(np.int64)
-                    out.append((len(words), len(words) - len(rare), base, model, ids, n_, m, codes[np.array(rare)[first]] - f, gs, ls))
+    whole, pull = math.log10(n + 0.5 * (v + 1)), PULL
+
+    def of_chunk(data: bytes, answers: list[bytes]) -> pa.RecordBatch:
+        logs, own = shared.value, known.value
+        part = pa.ipc.open_stream(data).read_next_batch()
+        read = Texts.read(part.column("t"))
+        codes, hashes, rare = own.read(read.words)
+        keys, place = own.keys(read, hashes, rare)
+        found = np.concatenate([unpacked(a) for a in answers]).astype(np.float64)
+        if len(found) != len(keys):
+            raise ValueError(f"{len(found)} counts for {len(keys)} keys")
+        c = np.empty(len(codes))
+        sure = np.ones(len(codes), bool)
+        sure[rare] = False
+        c[sure], c[rare] = own.counts[codes[sure]], found[place[len(read.place) :]]
+        ending = codes[rare] - len(own.code)
+        within = own.within[codes]
+        within[rare] = np.where(c[rare] > 0, within[rare] + np.log10(np.maximum(c[rare], 1)), own.unseen[ending])
+        context, k = own.events(read, codes)
+        prior = logs[context, k] + np.where(k != SAME, within[read.place], 0.0)
+        # All tokens of a text come before one, as its end stands for what is before the first.
+        model = prior - np.log10(c / pull + 1)[read.place] + np.log10(found[place[: len(read.place)]] / pull / 10.0**prior + 1)
+        first = read.first
+        sums = [read.sizes, np.add.reduceat((c > 0)[read.place].astype(np.int64), first), np.full(len(first), n), np.add.reduceat((np.log10(c + 0.5) - whole)[read.place], first), np.add.reduceat(model, first)]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *map(pa.array, sums)], names=names)
+
+    def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, answers = None, []
+        for batch in batches:
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket < 0:
+                    if held:
+                        yield of_chunk(held, answers)
+                    held, answers = data.as_py(), []
                 else:
-                    out.append((len(words), len(words), base, model, [], [], [], [], gs, ls))
-            yield out
-
-    read = cut(append_columns(rows, F.col("t"), added, make).drop("t").withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    pairs = read.select("row", F.explode(F.arrays_zip("hs", "ns", "ms", "es")).alias("p")).select("row", "p.*")
-    seen = pairs.join(counts.select(F.col("h").alias("hs"), "c"), "hs", "left")
-    # What the endings' tokens still lack: the count of a known token, or all of an unseen one's probability.
-    unseen = F.element_at(F.array(*(F.lit(float(x)) for x in tables.unseen[:ENDINGS_KINDS])), F.col("es") % ENDINGS_KINDS + 1)
-    known_part = F.element_at(F.array(*(F.lit(float(x)) for x in tables.within[len(tables.code) :][:ENDINGS_KINDS])), F.col("es") % ENDINGS_KINDS + 1)
-    whole = math.log10(n + 0.5 * (v + 1))
-    part = seen.groupBy("row").agg(
-        F.sum(F.col("ns") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - whole)).alias("b"),
-        F.sum(F.col("ms") * F.when(F.col("c").isNull(), unseen - known_part).otherwise(F.log10("c")) - F.col("ns") * F.log10(F.coalesce("c", F.lit(0)) / PULL + 1)).alias("m"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("ns"))).alias("k"),
-    )
-    read_pairs = read.select("row", F.explode(F.arrays_zip("gs", "ls")).alias("p")).select("row", "p.*")
-    rest = adjacent.where(F.col("c2") * FREQUENT < n).withColumnRenamed("g", "gs")
-    gain = F.log10(F.col("c2") / PULL / F.pow(F.lit(10.0), F.col("ls").cast("double")) / F.col("ct") + 1)
-    gained = read_pairs.join(rest, "gs").groupBy("row").agg(F.lit(None).cast("double").alias("b"), F.sum(gain).alias("m"), F.lit(None).cast("long").alias("k"))
-    sums = part.unionByName(gained).groupBy("row").agg(F.sum("b").alias("b"), F.sum("m").alias("m"), F.sum("k").alias("k"))
-    nought = F.lit(0.0)
-    return read.drop("hs", "ns", "ms", "es", "gs", "ls").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("sure") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", nought)).alias("base_score"), (F.col("model") + F.coalesce("m", nought)).alias("score"),
-    )
-
-
-#: An ending's class repeats with this period.
-ENDINGS_KINDS = CLASSES - OWN_CLASSES - 2
+                    answers.append(data.as_py())
+        if held:
+            yield of_chunk(held, answers)
+
+    made = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(x, kind) for x, kind in made)])
+    names = schema.names
+    both = chunks.select("chunk", F.lit(-1).alias("bucket"), "data").unionByName(counted)
+    return both.repartition(max(1, chunks.count() // 4), "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(read_all, schema)

@@ -99,3 +99,65 @@ def test_pairs_count_by_identity(spark, monkeypatch, frequent):
         if not got[i].held_out:
             own = tokens(t)
             assert got[i].score == pytest.approx(sum(math.log10(pairs[a, w] / before[a]) for a, w in zip([b"", *own], own)), abs=1e-4)
+
+
+def test_room_on_disk(spark):
+    """Bytes that tasks write into shuffles and into the shared folder, on texts whose pairs hardly come again."""
+    rng, size = np.random.default_rng(7), 800_000
+    texts = [" ".join(f"w{x:x}" for x in rng.integers(0, 20_000, 400)) for _ in range(size // 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    assert docs.count() == len(texts)
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList
+        stages = sc.statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() + stages.apply(i).outputBytes() for i in range(stages.size())}
+
+    old = written()
+    assert len(maxent.score(docs).collect()) == len(texts)
+    docs.unpersist()
+    new = {i: n for i, n in written().items() if i not in old}
+    assert 0 < sum(new.values()) < 25 * size  # 33 a token when each occurrence was a row of a join
+
+
+def test_score_by_plain_code(spark, monkeypatch):
+    """Several chunks and buckets, tokens of all kinds, against loops over single tokens."""
+    monkeypatch.setattr(maxent, "FREQUENT", 60)
+    monkeypatch.setattr(maxent, "CHUNK", 700)
+    monkeypatch.setattr(maxent, "BUCKET", 100)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"W{int(x)}e{int(x) % 7}" for x in rng.exponential(25, n)) for n in rng.integers(0, 40, 60)]
+    texts += [None, "", " \t\v\f\r\n ", "  x  X x\n", "gone gone only here É", "y " * 3000]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    docs = [*enumerate(texts), *zip(held[50:], ["  x  X x\n", "never never seen w1e1", "", None, "y y w2e2 y"]), (None, "x x"), (0, texts[0])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in maxent.score(df).collect())
+    training = [t for i, t in docs if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    train = spark.createDataFrame([(t,) for t in training], "text string")
+    counts = maxent.count_tokens(train).cache()
+    tables, n, _ = maxent.build_tables(counts)
+    weights = maxent.train(maxent.context_counts(train, tables))
+    c, pairs = Counter(w for t in training for w in tokens(t)), Counter(x for t in training for x in zip([b"", *tokens(t)], tokens(t)))
+    assert {bytes(r.token): r.c for r in counts.collect()} == c
+    f, want = len(tables.code), Counter()
+    code = {w: tables.code.get(w, f + zlib.crc32(w[-2:]) % maxent.ENDINGS) for _, t in docs for w in tokens(t)}
+    assert 0 < f < len(c) and n == c.total()
+    for i, t in docs:
+        own, total = tokens(t), 0.0
+        for at, w in enumerate(own):
+            one = tables.contexts[code[own[at - 1]]] if at > 0 else 0
+            two = tables.contexts[code[own[at - 2]]] if at > 1 else 0
+            same = at > 0 and own[at - 1] == w
+            k = maxent.SAME if same else tables.classes[code[w]]
+            prior = maxent.logits(weights, np.array([two * maxent.CONTEXTS + one]))[0, k] / math.log(10)
+            if not same:
+                e = code[w] - f
+                prior += tables.within[code[w]] if e < 0 else tables.within[code[w]] + math.log10(c[w]) if c[w] else tables.unseen[e]
+            before = own[at - 1] if at else b""
+            total += math.log10((pairs[before, w] + maxent.PULL * 10**prior) / (c[before] + maxent.PULL))
+        want[i, len(own), round(total, 3)] += 1
+    close = sorted(got.elements(), key=str), sorted(want.elements(), key=str)
+    assert [x[:2] for x in close[0]] == [x[:2] for x in close[1]]
+    assert [x[2] for x in close[0]] == pytest.approx([x[2] for x in close[1]], abs=2e-3)
